@@ -16,7 +16,7 @@ SEPARATORS = r"\s,;|/&+，；、\[\]{}()"
 QUOTED = r"\"[^\"]*\"|'[^']*'"
 # Placeholder = OPEN index SHUT. If a field holds one of these private-use characters itself, it
 # is escaped first, so that no text can be taken for a placeholder.
-OPEN, SHUT, ESCAPE = "", "", ""
+OPEN, SHUT, ESCAPE = "\ue000", "\ue001", "\ue002"
 
 
 def _escaped(c: Column) -> Column:
