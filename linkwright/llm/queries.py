@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.llm import chunking, splits, topn
+from linkwright.llm import chunking, mixing, packing, splits, topn
+from linkwright.llm.tokens import token_count
 from linkwright.operators.packed import unpack
 from linkwright.plans.general import VALUE_START
 from linkwright.sources.tables import table
@@ -58,7 +59,33 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.pieces(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", piece=lim["piece"], overlap=lim["overlap"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces}
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document (piece) with its container."""
+    docs = table(spark, folder, "documents", "doc_id", "text").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return packing.pack(docs, "doc_id", "n_tokens", _limits(spark, folder)["container"])
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are: their number, the least number the sizes allow, and the unused room."""
+    cap = _limits(spark, folder)["container"]
+    fill = p8_containers(spark, folder).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    a = fill.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+    return a.select("n_containers", F.ceil(F.col("n_tokens") / cap).alias("least_containers"), "n_tokens", "fullest", (1 - F.col("n_tokens") / (F.col("n_containers") * cap)).alias("unused_share"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of documents; the section of the site (first part of the URL's path) stands for the topic."""
+    docs = table(spark, folder, "documents", "doc_id", "source", "lang", "url", "text")
+    sized = docs.select("doc_id", "source", F.lower(F.trim("lang")).alias("lang"), F.regexp_extract("url", r"^\w+://[^/]+/([^/?#]*)", 1).alias("section"), token_count(F.col("text")).alias("n"))
+    return mixing.mix(sized, "doc_id", "n", "source", ["lang", "section"], table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.shares(p9_mixture(spark, folder), "source", table(spark, folder, "mix_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 _RANKED = """
 SELECT source1_entity_id, candidate_entity_id, match_proba, rank FROM (
