@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.llm import addresses, chunking, mixing, packing, splits, topn
+from linkwright.llm import addresses, chunking, mixing, names, packing, splits, topn
 from linkwright.llm.tokens import token_count
 from linkwright.operators.packed import unpack
 from linkwright.plans.general import VALUE_START
@@ -59,6 +59,11 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.pieces(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", piece=lim["piece"], overlap=lim["overlap"])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "train_source2", "entity_id", "business_name", "business_address")
+    return addresses.pairs_within(names.organisations(records, "entity_id", "business_name", "business_address"), "entity_id", "organisation")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "train_source3", "entity_id", "business_address")
     return addresses.pairs_within(addresses.places(records, "entity_id", "business_address"), "entity_id", "place")
@@ -90,7 +95,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), "source", table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p5_found": p5_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 _RANKED = """
 SELECT source1_entity_id, candidate_entity_id, match_proba, rank FROM (

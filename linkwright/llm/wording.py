@@ -20,8 +20,8 @@ HOUSE_WORDS = {"plot", "house", "door", "h", "d", "no", "num", "number", "hno",
 LANDMARK_LEADS = {"near", "nr", "opp", "opposite", "behind", "beside", "next"}
 ORDINALS = {"first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th"}
 # Legal forms and fillers of business names.
-LEGAL = set("limited ltd llc llp incorporated inc corporation corp corpn company co private pvt pvtltd p plc gmbh pty l c".split())
-FAMILY = set("sons daughters brothers bros and n the".split())
+LEGAL = set("limited ltd llc llp incorporated inc corporation corp corpn company co private pvt pvtltd plc gmbh pty".split())
+FAMILY = set("sons daughters brothers bros and the".split())
 # Given names with their short forms.
 NICKNAMES = {
     "alexander": "alex sandy sasha xander", "katherine": "kate kathy katie kat kathryn catherine", "victoria": "vicky vicki tori", "margaret": "peg peggy maggie meg",
@@ -80,3 +80,39 @@ def is_short_for(short: str, word: str) -> bool:
         return False
     it = iter(word)
     return all(c in it for c in short)
+
+
+def singular(word: str) -> str:
+    if word.endswith("ies") and len(word) > 4:
+        return word[:-3] + "y"
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") and len(word) > 3 else word
+
+
+# Endings that make words of one stem.
+_ENDINGS = {"", "s", "es", "y", "ies", "ing", "er", "ers", "or", "ors", "ant", "ants", "ed", "ment", "e", "age", "aging"}
+
+
+@lru_cache(maxsize=1 << 16)
+def same_stem(a: str, b: str) -> bool:
+    """The words share a stem of four letters or more and differ in a usual ending (trading, traders)."""
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return any(a[j:] in _ENDINGS and b[j:] in _ENDINGS for j in range(k, 3, -1))
+
+
+def variant_cost(word: str, of: str) -> float | None:
+    """What the channel charges for `word` written for the common word `of`; None if it can't be."""
+    if word == of or singular(word) == singular(of):
+        return 0.1
+    if same_stem(word, of):
+        return 0.3
+    for whole in (of, singular(of)):
+        if is_short_for(word, whole) and not (len(word) > 5 and len(whole) - len(word) > 6):
+            return (0.4 if whole.startswith(word) else 0.9) - (0.1 if word[-1] == whole[-1] else 0.0)
+    if len(word) >= 5 and abs(len(word) - len(of)) <= 2:
+        most = 2 if len(of) >= 7 else 1
+        d = distance(word, of, most)
+        if d <= most:
+            return float(d)
+    return None
