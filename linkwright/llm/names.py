@@ -22,7 +22,7 @@ COMMON_SHARE, COMMON_LEAST = 0.008, 20
 LABEL_SHARE, LABEL_LEAST, LABEL_PLACES = 0.0005, 8, 0.5
 
 _DBA = re.compile(r"\b(?:d/b/a|dba|d\.b\.a\.?|doing business as|trading as|t/a)\b")
-_FORMERLY = re.compile(r"\(?\s*\b(?:formerly|f/k/a|fka|earlier|previously)\b.*")
+_FORMERLY = re.compile(r"\(?\s*\b(?:f[o0]rmerly|f/k/a|fka|earlier|previously)\b.*")
 _TITLE = re.compile(r"^\W*(?:m/s|messrs)\b\.?")
 _PRIVATE = re.compile(r"\(p\)|\bp\.?(?=\s*(?:ltd|limited)\b)")
 _DOTS = re.compile(r"(?<=\b[a-z])\.\s?(?=[a-z]\b)")

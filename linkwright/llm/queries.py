@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.llm import addresses, chunking, mixing, names, packing, splits, topn
+from linkwright.llm import addresses, chunking, linkage, mixing, names, packing, splits, topn
 from linkwright.llm.tokens import token_count
 from linkwright.operators.packed import unpack
 from linkwright.plans.general import VALUE_START
@@ -64,6 +64,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.pairs_within(names.organisations(records, "entity_id", "business_name", "business_address"), "entity_id", "organisation")
 
 
+_RECORD = ["entity_id", "business_name", "business_address", "country"]
+
+
+def p6_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches of the unlabelled source1 records with their confidence."""
+    s1 = table(spark, folder, "train_source1", *_RECORD)
+    records = table(spark, folder, "train_source2", *_RECORD).unionByName(table(spark, folder, "train_source3", *_RECORD))
+    labelled = table(spark, folder, "train_matches", "source1_entity_id").select(F.col("source1_entity_id").alias("entity_id"))
+    only = s1.select("entity_id").join(labelled, "entity_id", "left_anti")
+    found = linkage.link(s1, records, *_RECORD, only=only)
+    return found.select(F.col("reference_entity_id").alias("source1_entity_id"), "entity_id", "confidence")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_scored(spark, folder).select("source1_entity_id", "entity_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "train_source3", "entity_id", "business_address")
     return addresses.pairs_within(addresses.places(records, "entity_id", "business_address"), "entity_id", "place")
@@ -95,7 +112,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), "source", table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p5_found": p5_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_scored": p6_scored, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 _RANKED = """
 SELECT source1_entity_id, candidate_entity_id, match_proba, rank FROM (

@@ -18,7 +18,7 @@ DIRECTIONS = {"north": "n", "south": "s", "east": "e", "west": "w", "n": "n", "s
 UNIT_WORDS = {"suite", "ste", "shop", "office", "unit", "floor", "fl", "sector", "sec", "apt", "apartment", "room", "flat", "block", "phase"}
 HOUSE_WORDS = {"plot", "house", "door", "h", "d", "no", "num", "number", "hno", "dno", "ho", "building", "bldg"}
 LANDMARK_LEADS = {"near", "nr", "opp", "opposite", "behind", "beside", "next"}
-ORDINALS = {"first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th"}
+ORDINALS = {"first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th", "eleventh": "11th", "twelfth": "12th"}
 # Legal forms and fillers of business names.
 LEGAL = set("limited ltd llc llp incorporated inc corporation corp corpn company co private pvt pvtltd plc gmbh pty".split())
 FAMILY = set("sons daughters brothers bros and the".split())
