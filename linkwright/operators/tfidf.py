@@ -33,7 +33,8 @@ def fit(corpus: DataFrame, column: str, settings: Settings = DEFAULT) -> DataFra
     idf = ln((1 + texts) / (1 + df)) + 1; empty texts count as texts.
     """
     n = corpus.count()
-    grams = corpus.select(F.monotonically_increasing_id().alias("d"), F.explode(ngrams(F.col(column), *settings.tfidf_ngrams)).alias("term"))
+    # In one select the id would be drawn after the explode, one per term.
+    grams = corpus.select(column).withColumn("d", F.monotonically_increasing_id()).select("d", F.explode(ngrams(F.col(column), *settings.tfidf_ngrams)).alias("term"))
     per = grams.groupBy("term", "d").agg(F.count("*").alias("c")).groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("tf"))
     kept = per.filter(F.col("df") >= settings.tfidf_min_df).orderBy(F.desc("tf"), "term").limit(settings.tfidf_max_terms)
     return kept.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
