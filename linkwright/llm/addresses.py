@@ -143,6 +143,10 @@ def address_fields(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=_NAMES)
 
 
+# Filters on the fields must not be pushed below an exchange, or every text is read twice.
+address_fields = address_fields.asNondeterministic()
+
+
 def town_of_code(read: DataFrame) -> DataFrame:
     """(code, town): for each postal code the word that goes with it most, learned from the addresses.
 

@@ -130,7 +130,7 @@ def name_reader(common: list[str]):
                 rows.append((p, [sound(w) for w in p], t, g))
             yield pd.DataFrame(rows, columns=["proper", "sounds", "trade", "given"])
 
-    return read
+    return read.asNondeterministic()  # filters on the result stay above it: every name is read once
 
 
 def key_of(name: Column) -> Column:
