@@ -64,8 +64,8 @@ def _partial(short: str, long: str) -> float:
     letters = set(short)
     for i in range(1 - m, n):
         lo, hi = max(0, i), min(n, i + m)
-        # a window that begins or ends with a strange letter is no better than a smaller one
-        if (lo > 0 and long[lo] not in letters) or (hi < n and long[hi - 1] not in letters):
+        # a window that ends with a strange letter is no better than the one before
+        if hi < n and long[hi - 1] not in letters:
             continue
         r = ratio(short, long[lo:hi])
         if r > best:

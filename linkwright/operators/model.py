@@ -39,7 +39,7 @@ class PairClassifier:
         gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", **self.params)
         if val is not None:
             rows = rows.unionByName(val.select(*self.features, F.col("label").cast("double").alias("label"), F.lit(1.0).alias("w"), F.lit(True).alias("is_val")))
-            gbt = gbt.setValidationIndicatorCol("is_val").setValidationTol(0.001)
+            gbt = gbt.setParams(validationIndicatorCol="is_val", validationTol=0.001)
         vectors = VectorAssembler(inputCols=self.features, outputCol="x")
         self.model = PipelineModel([vectors, gbt.fit(vectors.transform(rows))])
         return self
