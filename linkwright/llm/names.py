@@ -62,11 +62,18 @@ class Reader:
                 kept.append(w)
                 self.canon[w] = w
         self.common = kept
+        self.letters = [(k, set(k)) for k in kept]
         self.trade = lru_cache(maxsize=1 << 18)(self._trade)
 
     def _trade(self, word: str) -> str | None:
         """The common word that `word` abbreviates or misspells: the least cost, then the most frequent."""
-        costs = [(c, i) for i, k in enumerate(self.common) if (c := variant_cost(word, k)) is not None]
+        letters, costs = set(word), []
+        for i, (k, own) in enumerate(self.letters):
+            # with another first letter only a typo is possible, which changes few letters
+            if word[0] != k[0] and (len(word) < 5 or abs(len(word) - len(k)) > 2 or len(letters - own) > 2 or len(own - letters) > 2):
+                continue
+            if (c := variant_cost(word, k)) is not None:
+                costs.append((c, i))
         return self.common[min(costs)[1]] if costs else None
 
     def read(self, text: str | None) -> tuple[list[str], list[str], str]:

@@ -37,6 +37,8 @@ FORMAL_NAME = {short: name for name, shorts in NICKNAMES.items() for short in [n
 
 def plain(text: str) -> str:
     """Lower case without accents, compatibility forms resolved."""
+    if text.isascii():
+        return text.lower()
     s = unicodedata.normalize("NFKD", text)
     return "".join(c for c in s if not unicodedata.combining(c)).lower()
 
@@ -48,6 +50,17 @@ def distance(a: str, b: str, most: int = 3) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    x, y = set(a), set(b)
+    if len(x - y) > most or len(y - x) > most:  # every letter of one side only takes an edit
+        return most + 1
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    if not a or not b:
+        return len(a) + len(b)
     old: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -82,6 +95,7 @@ def is_short_for(short: str, word: str) -> bool:
     return all(c in it for c in short)
 
 
+@lru_cache(maxsize=1 << 16)
 def singular(word: str) -> str:
     if word.endswith("ies") and len(word) > 4:
         return word[:-3] + "y"
