@@ -14,6 +14,7 @@ from linkwright.config import DEFAULT, PREFIX
 from linkwright.functions import text
 from linkwright.operators import blocking, emit, evaluate, features, pairs, profile, tfidf, validate
 from linkwright.operators.packed import unpack
+from linkwright.operators.storage import durable
 from linkwright.plans import er_sql
 from linkwright.plans.general import VALUE_START
 from linkwright.sources.tables import table
@@ -65,13 +66,13 @@ class Stage:
 
     def validation(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Scored validation pairs, their entities and the truth of these."""
-        val = self.scored(self.labelled(self.candidates()).filter("split = 'val'"))
+        val = durable(self.scored(self.labelled(durable(self.candidates())).filter("split = 'val'")))
         ents = val.select("source1_entity_id").distinct()
         return val, ents, self.truth().join(ents, "source1_entity_id", "left_semi")
 
     def results(self) -> tuple[DataFrame, DataFrame]:
         """Match lists and candidates of all source1 records."""
-        c = self.candidates()
+        c = durable(self.candidates())
         return emit.matching_results(self.raw("source1"), evaluate.predictions(self.scored(c), THRESHOLD), c), c
 
 
@@ -170,7 +171,7 @@ def _tfidf_cosine(st: Stage) -> DataFrame:
 
 def _matrix(st: Stage) -> DataFrame:
     corpus = _names_corpus(st)
-    p = st.labelled(st.candidates())
+    p = durable(st.labelled(durable(st.candidates())))
     return features.feature_matrix(p, st.norm("source1"), st.others(), tfidf.fit(corpus, "name_norm"), tfidf.fit(corpus, "address_norm"))
 
 
@@ -213,13 +214,13 @@ QUERIES = {
     "er_candidate_lists": _on(lambda st: emit.candidate_lists(st.candidates())),
     "er_recovered_pairs": _on(lambda st: pairs.recovered(st.truth(), st.candidates())),
     "er_missed_pairs": _on(lambda st: pairs.missed(st.truth(), st.candidates())),
-    "er_blocking_recall": _on(lambda st: pairs.blocking_recall(st.truth(), st.candidates())),
+    "er_blocking_recall": _on(lambda st: pairs.blocking_recall(st.truth(), durable(st.candidates()))),
     "er_strategy_counts": _on(lambda st: pairs.strategy_counts(st.candidates())),
     # pairs and features
     "er_split": _on(lambda st: pairs.split_entities(st.entities())),
     "er_hard_negatives": _on(lambda st: pairs.hard_negatives(st.candidates(), st.truth(), st.entities())),
     "er_neg_sample": _on(lambda st: pairs.sampled_negatives(pairs.hard_negatives(st.candidates(), st.truth(), st.entities()))),
-    "er_pair_stats": _on(lambda st: pairs.pair_stats(st.labelled(st.candidates()))),
+    "er_pair_stats": _on(lambda st: pairs.pair_stats(st.labelled(durable(st.candidates())))),
     "er_pair_attrs": _on(lambda st: features.with_attributes(_label_pairs(st), st.norm("source1"), st.others())),
     "er_features_exact": _on(lambda st: _label_features(st).select(*pairs.KEYS, *features.EXACT)),
     "er_features_token": _on(lambda st: _rounded(_label_features(st), features.TOKEN)),
