@@ -45,7 +45,8 @@ def components(edges: DataFrame, a: str, b: str, *, edges_per_task: int = EDGES_
     lie, before anything is shuffled; each has at most one edge per node. As long as the forests
     together exceed `edges_per_task`, they are merged level by level: every node points its
     roots (one per partition at most) to the smallest of them, and new local forests are built of
-    that. What is left then fits one task by that bound. Every level ends in a checkpoint.
+    that, nodes taking over the root of their root on the way. What is left then fits one task by
+    that bound, or no root has a root and every node one: then the forests are the result. Every level ends in a checkpoint.
     """
     e = edges.select(edges[a].cast("string").alias("a"), edges[b].cast("string").alias("b")).filter("a is not null and b is not null and a <> b")
     forest = durable(e.mapInPandas(local_forest, "node string, root string"))
@@ -58,7 +59,10 @@ def components(edges: DataFrame, a: str, b: str, *, edges_per_task: int = EDGES_
         roots = forest.select(F.col("root").alias("node")).distinct()
         if low.filter("low <> high").isEmpty() and low.join(roots, "node", "left_semi").isEmpty():
             return forest.distinct()
-        star = forest.join(low.drop("high"), "node").select(F.col("low").alias("a"), F.explode(F.array("node", "root")).alias("b")).filter("a <> b").distinct()
+        # Of its roots a node takes the smallest, and of that one its own smallest root in turn.
+        above = low.select(F.col("node").alias("low"), F.col("low").alias("top"))
+        up = forest.join(low.drop("high"), "node").join(above, "low", "left").withColumn("top", F.coalesce("top", "low"))
+        star = up.select(F.col("top").alias("a"), F.explode(F.array("node", "root", "low")).alias("b")).filter("a <> b").distinct()
         parts = max(1, math.ceil(n / edges_per_task))
         forest = durable(star.repartition(parts, "b").mapInPandas(local_forest, "node string, root string"))
 
