@@ -140,6 +140,11 @@ def _label_pairs(st: Stage) -> DataFrame:
     return st.truth()
 
 
+def _all_pairs(st: Stage) -> DataFrame:
+    """Every pair that training or scoring can see: all candidates, and the label pairs blocking missed."""
+    return st.candidates().select(*pairs.KEYS).unionByName(_label_pairs(st)).distinct()
+
+
 def _validation_query(f):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         val, ents, truth = Stage(spark, folder).validation()
@@ -156,17 +161,25 @@ def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*pairs.KEYS, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in columns])
 
 
+def _attributes(st: Stage, p: DataFrame) -> DataFrame:
+    return features.with_attributes(p, st.norm("source1"), st.others())
+
+
 def _label_features(st: Stage) -> DataFrame:
-    return features.string_features(features.with_attributes(_label_pairs(st), st.norm("source1"), st.others()))
+    return features.string_features(_attributes(st, _label_pairs(st)))
+
+
+def _all_features(st: Stage) -> DataFrame:
+    return features.string_features(_attributes(st, _all_pairs(st)))
 
 
 def _names_corpus(st: Stage) -> DataFrame:
     return st.norm("source1").unionByName(st.others())
 
 
-def _tfidf_cosine(st: Stage) -> DataFrame:
+def _tfidf_cosine(st: Stage, p: DataFrame) -> DataFrame:
     terms = tfidf.fit(_names_corpus(st), "name_norm")
-    return _rounded(tfidf.cosines(_label_pairs(st), st.norm("source1"), st.others(), "name_norm", terms, "cosine"), ["cosine"])
+    return _rounded(tfidf.cosines(p, st.norm("source1"), st.others(), "name_norm", terms, "cosine"), ["cosine"])
 
 
 def _matrix(st: Stage) -> DataFrame:
@@ -221,16 +234,23 @@ QUERIES = {
     "er_hard_negatives": _on(lambda st: pairs.hard_negatives(st.candidates(), st.truth(), st.entities())),
     "er_neg_sample": _on(lambda st: pairs.sampled_negatives(pairs.hard_negatives(st.candidates(), st.truth(), st.entities()))),
     "er_pair_stats": _on(lambda st: pairs.pair_stats(st.labelled(durable(st.candidates())))),
-    "er_pair_attrs": _on(lambda st: features.with_attributes(_label_pairs(st), st.norm("source1"), st.others())),
+    "er_pair_attrs": _on(lambda st: _attributes(st, _label_pairs(st))),
     "er_features_exact": _on(lambda st: _label_features(st).select(*pairs.KEYS, *features.EXACT)),
     "er_features_token": _on(lambda st: _rounded(_label_features(st), features.TOKEN)),
     "er_features_structure": _on(lambda st: _rounded(_label_features(st), features.STRUCTURE)),
     "er_feature_nulls": _on(lambda st: features.null_features(_label_features(st), [*features.EXACT, *features.TOKEN, *features.STRUCTURE])),
-    "er_features_fuzzy": _on(lambda st: _rounded(features.with_fuzzy(features.with_attributes(_label_pairs(st), st.norm("source1"), st.others())), features.FUZZY)),
+    "er_features_fuzzy": _on(lambda st: _rounded(features.with_fuzzy(_attributes(st, _all_pairs(st))), features.FUZZY)),
     "er_feature_matrix": _on(_matrix),
+    # the same over all candidates and label pairs
+    "er_all_pair_attrs": _on(lambda st: _attributes(st, _all_pairs(st))),
+    "er_all_features_exact": _on(lambda st: _all_features(st).select(*pairs.KEYS, *features.EXACT)),
+    "er_all_features_token": _on(lambda st: _rounded(_all_features(st), features.TOKEN)),
+    "er_all_features_structure": _on(lambda st: _rounded(_all_features(st), features.STRUCTURE)),
+    "er_all_feature_nulls": _on(lambda st: features.null_features(_all_features(st), [*features.EXACT, *features.TOKEN, *features.STRUCTURE])),
+    "er_all_tfidf_cosine": _on(lambda st: _tfidf_cosine(st, _all_pairs(st))),
     # TF-IDF, scores, evaluation
     "er_tfidf_vocab": _on(lambda st: tfidf.fit(_names_corpus(st), "name_norm").select("term", "df", "tf", F.round("idf", 6).alias("idf"))),
-    "er_tfidf_cosine": _on(_tfidf_cosine),
+    "er_tfidf_cosine": _on(lambda st: _tfidf_cosine(st, _label_pairs(st))),
     "er_predictions": _validation_query(lambda val, ents, truth: evaluate.predictions(val, THRESHOLD)),
     "er_entity_f05": _validation_query(_metrics),
     "er_threshold_sweep": _validation_query(lambda val, ents, truth: evaluate.sweep(val, truth, ents)),

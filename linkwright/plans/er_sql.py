@@ -279,3 +279,7 @@ SELECT {_PAIR}, round(coalesce(sum(a.x * b.x), 0.0), 6) AS cosine FROM truth t L
     "er_validate_subset": f"WITH {_LISTS} SELECT DISTINCT 'not_candidate' AS rule, s1 AS offender FROM ids ANTI JOIN cids USING (s1, id)",
     "er_validate_summary": f"WITH {_LISTS}, f AS ({_DUPS} UNION ALL {_PREFIXES} UNION ALL {_MISSING} UNION ALL {_UNKNOWN}) SELECT rule, count(*) AS n_offenders, array_to_string(list_sort(list_distinct(list(offender)))[1:5], ',') AS sample FROM f GROUP BY 1",
 }
+
+# The pair queries again, over all candidates and label pairs.
+_ALL = f"{BLOCK}, allp AS (SELECT {_PAIR} FROM cands UNION SELECT {_PAIR} FROM truth)"
+SQL |= {f"er_all_{k}": SQL[f"er_{k}"].replace(NORM, _ALL).replace("FROM truth p ", "FROM allp p ").replace("FROM truth t ", "FROM allp t ") for k in ("pair_attrs", "features_exact", "features_token", "features_structure", "feature_nulls", "tfidf_cosine")}
