@@ -18,6 +18,8 @@ from linkwright.operators.storage import durable
 _TOKEN = re.compile(r"[a-z0-9]+|[,;\n]| - ")
 _DOTTED = re.compile(r"(?<=\b[a-z])\.(?=[a-z]\b)")
 _ZIP4 = re.compile(r"\b(\d{5})-\d{4}\b")
+_SEPARATORS = {",", ";", "\n", " - "}
+_LONG = re.compile(r"(?<![a-z0-9])\d{5,6}(?![a-z0-9])")
 _NUMBER = re.compile(r"(\d+)([a-z]?)$")
 _ORDINAL = re.compile(r"\d+(st|nd|rd|th)$")
 
@@ -40,6 +42,42 @@ def _lead(word: str, words: set[str]) -> bool:
     return word in words or (len(word) >= 4 and any(len(w) >= 4 and w[0] == word[0] and distance(word, w, 1) <= 1 for w in words))
 
 
+def _house_at(tok: list[str], i: int) -> bool:
+    """Whether a street with its kind follows the number at `i`."""
+    j = i + 1
+    if j + 1 < len(tok) and re.fullmatch("[a-d]", tok[j]) and tok[j + 1] not in _SEPARATORS:
+        j += 1
+    if j < len(tok) and tok[j] == ",":
+        j += 1
+    if j + 2 < len(tok) and tok[j] in DIRECTIONS:
+        j += 1
+    return j + 1 < len(tok) and tok[j] not in _SEPARATORS and not tok[j].isdigit() and tok[j] not in LANDMARK_LEADS and kind_of(tok[j + 1]) is not None
+
+
+def _long_house(tok: list[str]) -> int:
+    """Where the house number stands if it has five or six digits like a postal code; -1 if none does.
+
+    It comes before any other number and is followed by a street and its kind, or by a street alone if
+    the code comes later.
+    """
+    for i, t in enumerate(tok):
+        if not t[0].isdigit() or _ORDINAL.match(t):
+            continue
+        if i and tok[i - 1] in ("pin", "zip"):
+            continue
+        if not (t.isdigit() and len(t) in (5, 6)):
+            if i and (tok[i - 1] in UNIT_WORDS or len(tok[i - 1]) >= 5 and _lead(tok[i - 1], {"suite", "office", "sector"})) or i > 1 and tok[i - 1] in ("no", "num", "number") and tok[i - 2] in UNIT_WORDS:
+                continue  # the number of a suite
+            return -1
+        if _house_at(tok, i):
+            return i
+        first = all(x == "," or _lead(x, HOUSE_WORDS) for x in tok[:i])
+        later = any(x.isdigit() and len(x) in (5, 6) or x.isdigit() and len(x) == 3 and len(y) == 3 and y.isdigit() for x, y in zip(tok[i + 1 :], [*tok[i + 2 :], ""]))
+        if first and later and i + 1 < len(tok) and tok[i + 1] not in _SEPARATORS and not tok[i + 1].isdigit():
+            return i
+    return -1
+
+
 def read_address(text: str | None) -> tuple | None:
     """(number, letter, direction, street, kind, other words, postal code); None without a number or street.
 
@@ -51,7 +89,7 @@ def read_address(text: str | None) -> tuple | None:
     s = _ZIP4.sub(r"\1", plain(text).replace("#", " no "))
     s = _DOTTED.sub("", s)
     tok = _TOKEN.findall(s)
-    sep = {",", ";", "\n", " - "}
+    sep, house = _SEPARATORS, _long_house(tok) if _LONG.search(s) else -1
     code, keep, i, n = "", [], 0, len(tok)
     while i < n:
         t = tok[i]
@@ -63,7 +101,7 @@ def read_address(text: str | None) -> tuple | None:
             i += 1
             continue
         if t.isdigit():
-            if len(t) in (5, 6):
+            if len(t) in (5, 6) and i != house:
                 code = code or t
                 keep.append(",")
                 i += 1

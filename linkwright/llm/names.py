@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwright.llm.splits import components
-from linkwright.llm.wording import FAMILY, FORMAL_NAME, LEGAL, distance, plain, sound, variant_cost
+from linkwright.llm.wording import DIRECTIONS, FAMILY, FORM_OF_KIND, FORMAL_NAME, LEGAL, distance, plain, sound, variant_cost
 from linkwright.operators.storage import durable
 
 #: A word in at least this share of the names (and this many) is a common word, not part of a proper name.
@@ -147,7 +147,8 @@ def key_of(name: Column) -> Column:
 
 def house_number(address: Column) -> Column:
     """The first number of an address that is no postal code, unit or sector; '' if there is none."""
-    a = F.regexp_replace(F.lower(address), r"\b(suite|ste|shop|office|unit|floor|fl|sector|sec)\b[ .\-]*(no[. ]*)?\d+|\d{5,}(-\d+)?|\b\d{3} \d{3}\b", " ")
+    text = F.regexp_replace(F.lower(address), rf"\b(?<!pin )(?<!zip )(\d{{5,6}})\b(?=(?: [a-d])?,?(?: (?:{'|'.join(DIRECTIONS)})\b\.?)? [a-z0-9]+ (?:{'|'.join(sorted(FORM_OF_KIND, key=len, reverse=True))})\b)", "x$1")
+    a = F.regexp_replace(text, r"\b(suite|ste|shop|office|unit|floor|fl|sector|sec)\b[ .\-]*(no[. ]*)?\d+|(?<![x\d])\d{5,}(-\d+)?|\b\d{3} \d{3}\b", " ")
     return F.regexp_extract(a, r"\d+", 0)
 
 
