@@ -17,6 +17,9 @@ from linkwright.operators.storage import durable
 
 #: A word in at least this share of the names (and this many) is a common word, not part of a proper name.
 COMMON_SHARE, COMMON_LEAST = 0.008, 20
+#: A word that goes with one of its companions in this share of its names has a partner; if the companions other than
+#: partners and their variants come to less than that share of its names, the word is one organisation's.
+PARTNER_SHARE, OTHERS_SHARE = 0.2, 0.1
 #: A whole name in at least this share of the rows (and this many), at that share of different house
 #: numbers, is a general label.
 LABEL_SHARE, LABEL_LEAST, LABEL_PLACES = 0.0005, 8, 0.5
@@ -165,10 +168,39 @@ def general_labels(named: DataFrame) -> list[str]:
 
 
 def common_words(names: DataFrame) -> list[str]:
-    """Words in many of the names (column `k`), the most frequent first; their number is below words per name / COMMON_SHARE."""
+    """Trade words: in many of the names (column `k`), beside many others; the most frequent first.
+
+    Their number is below words per name / COMMON_SHARE. A word that goes nearly always with the same
+    few, misspelt or shortened ones included, is an organisation's own, however many records it has.
+    """
     n = names.count()
-    words = names.select(F.explode(F.array_distinct(F.split("k", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    return [r["w"] for r in words.filter((F.col("c") >= max(COMMON_LEAST, COMMON_SHARE * n)) & (F.length("w") > 2)).orderBy(F.desc("c"), "w").collect()]
+    some = F.array_distinct(F.split("k", " "))
+    words = names.select(F.explode(some).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    often = {r["w"]: r["c"] for r in words.filter((F.col("c") >= max(COMMON_LEAST, COMMON_SHARE * n)) & (F.length("w") > 2)).orderBy(F.desc("c"), "w").collect()}
+    filler = LEGAL | FAMILY
+    asked = [w for w in often if w not in filler]
+    if not asked:
+        return list(often)
+    # former names and the names before `dba` are those of others
+    k = F.regexp_replace(F.regexp_replace("k", r" (?:f[o0]rmerly|f k a|fka|earlier|previously) .*", ""), r"^.* (?:dba|d b a|doing business as|trading as|t a) (?=.)", "")
+    ws = F.filter(F.array_distinct(F.split(k, " ")), lambda w: (F.length(w) > 2) & ~w.isin(*filler))
+    each = names.select(ws.alias("ws")).select("ws", F.explode(F.array_intersect("ws", F.array(*[F.lit(w) for w in asked]))).alias("w"))
+    beside = durable(each.select("w", F.explode(F.filter("ws", lambda v: v != F.col("w"))).alias("v")).groupBy("w", "v").agg(F.count("*").alias("c")))
+    count = F.element_at(F.create_map(*[F.lit(x) for w in asked for x in (w, often[w])]), F.col("w"))
+    partners: dict[str, list[str]] = {}
+    for r in beside.filter(F.col("c") >= PARTNER_SHARE * count).select("w", "v").collect():  # few a word
+        partners.setdefault(r["w"], []).append(r["v"])
+    bound = F.col("w").isin(*partners) if partners else F.lit(False)
+
+    @F.pandas_udf(T.BooleanType())
+    def other(w: pd.Series, v: pd.Series) -> pd.Series:
+        """Whether `v` is neither a partner of `w` nor a writing of one, nor of `w`."""
+        near = lambda x, y: x == y or (len(x) > 3 and (distance(x, y, 2) <= 2 or x.startswith(y) or x.endswith(y))) or variant_cost(x, y) is not None
+        return pd.Series([not any(near(y, x) for x in (*partners[a], a)) for a, y in zip(w, v)], dtype=bool)
+
+    free = {r["w"]: r["c"] for r in beside.filter(bound).filter(other("w", "v")).groupBy("w").agg(F.sum("c").alias("c")).collect()}
+    alone = {r["w"] for r in beside.select("w").distinct().collect()}
+    return [w for w, c in often.items() if w in filler or (w in alone and (w not in partners or free.get(w, 0) >= OTHERS_SHARE * c))]
 
 
 def near_label(labels: list[str]):
