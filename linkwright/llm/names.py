@@ -20,9 +20,9 @@ COMMON_SHARE, COMMON_LEAST = 0.008, 20
 #: A word that goes with one of its companions in this share of its names has a partner; if the companions other than
 #: partners and their variants come to less than that share of its names, the word is one organisation's.
 PARTNER_SHARE, OTHERS_SHARE = 0.2, 0.1
-#: A whole name in at least this share of the rows (and this many), at that share of different house
-#: numbers, is a general label.
-LABEL_SHARE, LABEL_LEAST, LABEL_PLACES = 0.0005, 8, 0.5
+#: A whole name in at least this share of the rows (and this many) is a general label if its house numbers
+#: are that share of the different ones to be expected of unrelated rows (and this many).
+LABEL_SHARE, LABEL_LEAST, LABEL_PLACES, LABEL_NUMBERS = 0.0005, 8, 0.75, 4
 
 _DBA = re.compile(r"\b(?:d/b/a|dba|d\.b\.a\.?|doing business as|trading as|t/a)\b")
 _FORMERLY = re.compile(r"\(?\s*\b(?:f[o0]rmerly|f/k/a|fka|earlier|previously)\b.*")
@@ -158,13 +158,25 @@ def house_number(address: Column) -> Column:
 def general_labels(named: DataFrame) -> list[str]:
     """Names (as `key_of`) that unrelated businesses share; fewer than 1 / LABEL_SHARE.
 
-    named: (k, house). A label is frequent and lies at many different house numbers; an organisation,
-    branches included, lies at few.
+    named: (k, house). A label is frequent and has as many different house numbers as so many rows drawn
+    from all would have, whatever their number; an organisation, branches included, has fewer. A name with
+    a trade word of many organisations beside a word of its own is an organisation's, however many its places.
     """
+    named = durable(named.select("k", "house"))
     n = named.count()
-    per = named.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("house").alias("places"))
-    floor = max(LABEL_LEAST, LABEL_SHARE * n)
-    return sorted(r["k"] for r in per.filter((F.col("n") >= floor) & (F.col("places") >= F.least(F.col("n") * LABEL_PLACES, F.lit(20)))).select("k").collect())
+    housed = F.coalesce("house", F.lit("")) != ""
+    per = named.groupBy("k").agg(F.count("*").alias("n"), F.count_if(housed).alias("m"), F.countDistinct(F.when(housed, F.col("house"))).alias("places"))
+    often = durable(per.filter((F.col("n") >= max(LABEL_LEAST, LABEL_SHARE * n)) & (F.col("places") >= LABEL_NUMBERS)))
+    numbers = named.filter(housed).groupBy("house").agg(F.count("*").alias("c"))
+    share = F.col("c") / F.lit(float(max(1, named.filter(housed).count())))
+    expected = numbers.crossJoin(F.broadcast(often)).groupBy("k").agg(F.sum(1 - F.pow(1 - share, F.col("m"))).alias("expected"), F.max("places").alias("places"))
+    found = sorted(r["k"] for r in expected.filter(F.col("places") >= LABEL_PLACES * F.col("expected")).select("k").collect())
+    if not found:
+        return found
+    # trade words of the other names; shorter ones are mostly misspelt labels
+    trade = set(common_words(named.filter(~F.col("k").isin(found) & (F.size(F.split("k", " ")) > 2)).select("k")))
+    own = lambda k: [w for w in k.split() if len(w) > 2 and w not in LEGAL and w not in FAMILY]
+    return [k for k in found if not trade & set(own(k)) or not set(own(k)) - trade]
 
 
 def common_words(names: DataFrame) -> list[str]:
