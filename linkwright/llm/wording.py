@@ -75,13 +75,14 @@ def distance(a: str, b: str, most: int = 3) -> int:
     return min(row[-1], most + 1)
 
 
-_SOUNDS = [("ee", "i"), ("oo", "u"), ("ph", "f"), ("ks", "x"), ("v", "b"), ("z", "j"), ("c", "k"), ("q", "k"), ("0", "o"), ("1", "l"), ("5", "s"), ("th", "t")]
+# Spellings that sound alike, in the order they are replaced.
+SOUNDS = [("ee", "i"), ("oo", "u"), ("ph", "f"), ("ks", "x"), ("v", "b"), ("z", "j"), ("c", "k"), ("q", "k"), ("0", "o"), ("1", "l"), ("5", "s"), ("th", "t")]
 
 
 @lru_cache(maxsize=1 << 16)
 def sound(word: str) -> str:
     """The word with letters that are often confused made one, repeated letters once."""
-    for a, b in _SOUNDS:
+    for a, b in SOUNDS:
         word = word.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", word)
 
