@@ -42,14 +42,20 @@ _OTHER_NAME = r"(?s)^.*\b(?:d/b/a|dba|d\.b\.a\.?|doing business as|trading as|t/
 _NO_NAME = r"(?s)^\W*(?:m/s|messrs)\b\.?|\(?\s*\b(?:f[o0]rmerly|f/k/a|fka|earlier|previously)\b.*|\(p\)|\bp\.?(?=\s*(?:ltd|limited)\b)|(?<=\b[a-z])\.\s?(?=[a-z]\b)|'"
 
 
-def name_words(name: Column) -> Column:
-    """The distinct words of a name, in order: what follows `dba`, without a former name, title, legal form
-    and `& Sons`; digits among letters are read as the letters they look like. Null and blank have none."""
-    s = F.replace(plain(F.coalesce(name, F.lit(""))), F.lit("'n'"), F.lit(" "))
-    s = F.when(s.contains("b") | s.contains("t"), F.regexp_replace(s, _OTHER_NAME, "")).otherwise(s)
-    s = F.regexp_replace(s, _NO_NAME, "")
-    words = F.transform(F.split(s, "[^a-z0-9]+"), lambda w: F.when(w.rlike("[a-z]"), F.translate(w, "015", "ols")).otherwise(w))
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(sorted(LEGAL | FAMILY))))
+def with_words(df: DataFrame, name: str) -> DataFrame:
+    """`df` with `words`, the distinct words of a name, in order: what follows `dba`, without a former name, title, legal
+    form and `& Sons`; digits among letters are read as the letters they look like. Null and blank have none.
+
+    What a step uses more than once is a column of its own, or it would be computed as often.
+    """
+    read = df.withColumn("__n", F.replace(plain(F.coalesce(df[name], F.lit(""))), F.lit("'n'"), F.lit(" ")))
+    n, has = F.col("__n"), lambda *marks: F.lit(False) if not marks else F.col("__n").contains(marks[0]) | has(*marks[1:])
+    n = F.when(has("dba", "d/b/a", "d.b.a", "doing business as", "trading as", "t/a"), F.regexp_replace(n, _OTHER_NAME, "")).otherwise(n)
+    read = read.withColumn("__n", F.regexp_replace(n, _NO_NAME, ""))
+    words = F.split("__n", "[^a-z0-9]+")
+    letters = F.transform(words, lambda w: F.when(w.rlike("[a-z]"), F.translate(w, "015", "ols")).otherwise(w))
+    words = F.when(has("0", "1", "5"), letters).otherwise(words)
+    return read.withColumn("words", F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(sorted(LEGAL | FAMILY))))).drop("__n")
 
 
 def given_name(words: Column) -> Column:
