@@ -76,7 +76,8 @@ _LANDMARK = rf" (?:{'|'.join(sorted(LANDMARK_LEADS, key=len, reverse=True))})(?:
 # A house number of five or six digits: a street and its kind follow, or it comes first and a code comes later.
 _LONG_HOUSE = rf" (?<! pin )(?<! zip )(\d{{5,6}})(?=(?: [a-d])?(?: ,)?(?: (?:{_TO}))? [a-z][a-z0-9]* (?:{_FORMS}) )|^((?: ,)?(?: (?:{_HOUSE})){{0,3}}) (\d{{5,6}})(?= [a-z](?:.* )?(?:\d{{5,6}}|\d{{3}} \d{{3}}) )"
 _PLACE = rf"^(.*?) (\d{{1,4}}|x\d{{5,6}})(?:([a-z])| ([a-d]))?(?= )(?: ,){{0,9}}(?: ({_TO})(?= [a-z0-9]))? ([a-z0-9]+)(?= )(.*)$"
-_ORDINAL = "|".join(ORDINALS)
+# What is no name of a town or state: signs, single letters, words with a digit first, words that lead to numbers.
+_FILLER = rf" (?:,|[a-z]|\d[a-z0-9]*|{'|'.join(sorted(HOUSE_WORDS | UNIT_WORDS | {'pin', 'zip', *DIRECTIONS}, key=len, reverse=True))})(?= )"
 PARTS = ["number", "letter", "direction", "street", "street_sound", "kind", "rest", "code"]
 
 
@@ -116,10 +117,9 @@ def with_address(df: DataFrame, address: str) -> DataFrame:
     after = F.get("__tail", F.when(F.col("kind") != "", 2).otherwise(1))
     to = literal_map(DIRECTIONS)
     turned = F.when(F.col("__found") & (part(2) == ""), F.try_element_at(to, after))
-    words = F.concat(F.split(part(4), " "), F.slice("__tail", F.when(F.col("kind") != "", 3).otherwise(2), F.lit(1 << 30)))
-    digits = F.regexp_replace(part(1 - 1), "^x?0*(?=.)", "")
+    words = F.concat_ws(" ", F.lit(""), part(4), F.array_join(F.slice("__tail", F.when(F.col("kind") != "", 3).otherwise(2), F.lit(1 << 30)), " "), F.lit(""))
+    digits = F.regexp_replace(part(0), "^x?0*(?=.)", "")
     read = read.withColumns({"__words": F.when(F.col("__found"), words), "direction": F.when(F.col("__found"), F.coalesce(F.try_element_at(to, part(2)), turned, F.lit(""))), "number": F.when(F.col("__found"), digits), "letter": F.when(F.col("__found"), part(1)), "street_sound": sounding(F.col("street"))})
-    fillers = sorted(HOUSE_WORDS | UNIT_WORDS | {"pin", "zip", *DIRECTIONS})
-    rest = F.filter("__words", lambda w: w.rlike("^[a-z][a-z0-9]") & ~w.isin(fillers))
-    code = F.coalesce(F.get(F.filter("__words", lambda w: w.rlike(r"^\d{5,6}$")), F.lit(0)), F.when(F.col("__found"), F.lit("")))
+    rest = F.filter(F.split(F.regexp_replace("__words", _FILLER, ""), " "), lambda w: w != "")
+    code = F.regexp_extract("__words", r" (\d{5,6}) ", 1)
     return read.withColumns({"rest": rest, "code": code}).drop("__p", "__found", "__tail", "__words")
