@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,13 @@ def plain(text: Column) -> Column:
 
 def sounding(text: Column) -> Column:
     """The text with letters that are often confused made one, repeated letters once."""
-    for a, b in SOUNDS:
-        text = F.translate(text, a, b) if len(a) == 1 else F.replace(text, F.lit(a), F.lit(b))
+    for single, run in groupby(SOUNDS, key=lambda x: len(x[0]) == 1):
+        pairs = list(run)
+        if single:
+            text = F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+        else:
+            for a, b in pairs:
+                text = F.replace(text, F.lit(a), F.lit(b))
     return F.regexp_replace(text, r"([a-z0-9])\1+", "$1")
 
 
