@@ -6,17 +6,17 @@ Layout: DATA/train/train_source{1,2,3}.tsv, DATA/train/train_ground_truth.tsv, D
 from __future__ import annotations
 
 import argparse
-import os
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.config import DEFAULT, PREFIX
+from linkwright.config import DEFAULT, LABEL_COLUMNS, PREFIX, SOURCE_COLUMNS
 from linkwright.operators import blocking, emit, evaluate, features, pairs, profile, tfidf, validate
 from linkwright.operators.model import PairClassifier, auc
+from linkwright.sources import files, tsv
 from linkwright.sources import store as st
-from linkwright.sources import tsv
 
 
 class Run:
@@ -25,6 +25,7 @@ class Run:
     def __init__(self, spark: SparkSession, data: str, out: str, *, force: bool = False, threshold: float | None = None) -> None:
         self.spark, self.data, self.out, self.force, self.threshold = spark, data, out, force, threshold
         self.store = st.Store(spark, f"{out}/tables")
+        self._trained: set[str] = set()
 
     def source(self, split: str, name: str) -> DataFrame:
         return tsv.read_source(self.spark, f"{self.data}/{split}/{split}_{name}.tsv")
@@ -65,9 +66,11 @@ class Run:
 
     def model(self) -> PairClassifier:
         path = self.store.path("model")
-        if self.force or not os.path.isdir(path.removeprefix("file://")):
-            m = self.train_matrix()
-            PairClassifier().fit(m.filter("split = 'train'"), m.filter("split = 'val'")).save(path)
+        if self.force and "model" not in self._trained or not files.exists(f"{path}/metadata"):
+            m, aside = self.train_matrix(), f"{path}-{uuid.uuid4().hex}"
+            PairClassifier().fit(m.filter("split = 'train'"), m.filter("split = 'val'")).save(aside)
+            files.replace(aside, path)
+            self._trained.add("model")
         return PairClassifier.load(path)
 
     def validation(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,25 +88,52 @@ class Run:
 
     # phases; each returns the number for the exit status
 
+    def file(self, split: str, name: str) -> str:
+        return f"{self.data}/{split}/{split}_{name}.tsv"
+
     def p1(self) -> int:
-        lines = []
-        for s, prefix in PREFIX.items():
-            issues = tsv.source_issues(self.spark, f"{self.data}/train/train_{s}.tsv", s)
-            if issues:
-                lines += issues
-                continue
-            df = self.source("train", s)
-            lines += st.report_lines(s, profile.source_profile(df, prefix)) + st.report_lines("countries", profile.country_histogram(df).orderBy(F.desc("n_rows"), "country")) + st.report_lines("sample", profile.sample_rows(df))
-        lines += st.report_lines("labels", profile.label_profile(self.labels())) + st.report_lines("coverage", profile.id_coverage(self.source("train", "source1"), self.labels()))
+        lines, whole = [], {}
+        for split in ("train", "test"):
+            for s, prefix in PREFIX.items():
+                if split == "test" and not files.exists(self.file(split, s)):
+                    continue
+                issues = tsv.source_issues(self.spark, self.file(split, s), s)
+                if issues:
+                    lines += issues
+                    whole.setdefault(split, {})[s] = {"issues": issues}
+                    continue
+                df = self.source(split, s)
+                parts = {
+                    "profile": profile.source_profile(df, prefix), "missing": profile.null_profile(df, list(SOURCE_COLUMNS)), "duplicates": profile.duplicate_ids(df),
+                    "countries": profile.country_histogram(df).orderBy(F.desc("n_rows"), "country"), "sample": profile.sample_rows(df),
+                }
+                whole.setdefault(split, {})[s] = {k: st.report_rows(v) for k, v in parts.items()}
+        labels = self.labels()
+        parts = {"profile": profile.label_profile(labels), "matches": profile.match_histogram(labels).orderBy("n_matches"), "coverage": profile.id_coverage(self.source("train", "source1"), labels)}
+        whole["labels"] = {k: st.report_rows(v) for k, v in parts.items()}
+        for split, tables in whole.items():
+            for name, rows in tables.items():
+                per = rows.items() if isinstance(rows, dict) else [("", rows)]
+                for part, found in per:
+                    lines += [f"{split} {name} {part}".strip(), *[f"  {r}" if isinstance(r, str) else "  " + "  ".join(f"{c}={v}" for c, v in r.items()) for r in found], ""]
         st.write_text(f"{self.out}/reports/profile.txt", lines)
-        st.write_json(f"{self.out}/reports/profile.json", {"lines": lines})
+        st.write_json(f"{self.out}/reports/profile.json", whole)
         return 0
 
     def p2(self) -> int:
         for split in ("train", "test"):
             for s in PREFIX:
-                if os.path.exists(f"{self.data}/{split}/{split}_{s}.tsv"):
-                    self.norm(split, s)
+                path = self.file(split, s)
+                if not files.exists(path):
+                    continue
+                built = self.store.stale(f"norm_{split}_{s}", self.force)
+                rows = self.norm(split, s)
+                print(f"norm_{split}_{s}: {rows.count()} rows", file=sys.stderr)
+                if built and (n := tsv.surplus_rows(self.spark, path, SOURCE_COLUMNS)):
+                    print(f"warning: {path}: {n} rows with too many fields dropped", file=sys.stderr)
+        path = self.file("train", "ground_truth")
+        if files.exists(path) and (n := tsv.surplus_rows(self.spark, path, LABEL_COLUMNS)):
+            print(f"warning: {path}: {n} rows with too many fields dropped", file=sys.stderr)
         return 0
 
     def p3(self) -> int:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkwright.config import DEFAULT, Settings
 from linkwright.functions import text
+from linkwright.operators.storage import durable
 
 #: tag -> (family, priority within the family)
 STRATEGIES = {
@@ -98,8 +99,9 @@ def merged(pairs: DataFrame) -> DataFrame:
 
 
 def token_sets(norm: DataFrame) -> DataFrame:
-    """(entity_id, toks): the words that rank candidates."""
-    return norm.select("entity_id", F.array_union(text.name_tokens(F.col("name_norm")), text.address_tokens(F.col("address_norm"))).alias("toks"))
+    """(entity_id, toks): the words that rank candidates, as hashes, which are an eighth of the size and compared faster."""
+    words = F.array_union(text.name_tokens(F.col("name_norm")), text.address_tokens(F.col("address_norm")))
+    return norm.select("entity_id", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("toks"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -127,10 +129,9 @@ def candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, settings: Settings =
 
     The hot-key limit holds per source. Empty tables give no candidates.
     """
-    mine = block_keys(s1)
-    pairs = None
+    mine, pairs = durable(block_keys(s1)), None
     for other in (s2, s3):
-        p = raw_pairs(mine, block_keys(other), settings.max_posting)
+        p = raw_pairs(mine, durable(block_keys(other)), settings.max_posting)
         pairs = p if pairs is None else pairs.unionByName(p)
     rated = ranked(merged(pairs), s1, s2.unionByName(s3))
     return top_candidates(rated, settings.max_candidates).select("source1_entity_id", "candidate_entity_id", "block_strategies")

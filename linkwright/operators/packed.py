@@ -49,11 +49,13 @@ def packed_values(field: Column, value_start: str) -> Column:
     inner_list = rf"[{SEPARATORS}]\s*{value_start}"
 
     def restored(piece: Column) -> Column:
-        numbers = F.regexp_extract_all(piece, F.lit(f"{OPEN}(\\d+){SHUT}"), F.lit(1))
-        whole = F.transform(numbers, lambda n: F.regexp_replace(F.get(spans, n.cast("int")), r"^[\"']|[\"']$", ""))
-        split_spans = F.flatten(F.transform(whole, lambda s: F.when(s.rlike(inner_list), F.split(s, rf"[{SEPARATORS}]+(?={value_start})", -1)).otherwise(F.array(s))))
-        plain = F.regexp_replace(F.regexp_replace(piece, f"{OPEN}\\d+{SHUT}", ""), r"^[\"'.]+|[\"'.]+$", "")
-        return F.when(F.size(numbers) > 0, F.concat(split_spans, F.array(plain))).otherwise(F.array(plain))
+        # A placeholder's text comes back where the placeholder stands, so that the order of values is kept.
+        at = F.split(piece, f"(?={OPEN})|(?<={SHUT})", -1)
+        number = lambda x: F.regexp_extract(x, f"^{OPEN}(\\d+){SHUT}$", 1)
+        span = lambda x: F.regexp_replace(F.get(spans, number(x).cast("int")), r"^[\"']|[\"']$", "")
+        inside = lambda t: F.when(t.rlike(inner_list), F.split(t, rf"[{SEPARATORS}]+(?={value_start})", -1)).otherwise(F.array(t))
+        plain = lambda x: F.array(F.regexp_replace(x, r"^[\"'.]+|[\"'.]+$", ""))
+        return F.flatten(F.transform(at, lambda x: F.when(x.startswith(OPEN), inside(span(x))).otherwise(plain(x))))
 
     values = F.transform(F.flatten(F.transform(pieces, restored)), lambda v: F.regexp_replace(_unescaped(v), r"^\s+|[\s,;|/&+，]+$", ""))
     return F.filter(values, lambda v: v.rlike(f"^{value_start}"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from linkwright.config import DEFAULT, Settings
 from linkwright.functions.text import hashed, id_list
+from linkwright.operators.storage import durable
 
+#: Bits of `text.hashed`, and how many of them make the buckets in which a share of all ids is cut off.
+HASH_BITS, BUCKET_BITS = 32, 12
 KEYS = ["source1_entity_id", "candidate_entity_id"]
 
 
@@ -53,13 +56,25 @@ def strategy_counts(cands: DataFrame) -> DataFrame:
 def split_entities(entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(source1_entity_id, split): the first share by hash is `val`, at least one id; the rest `train`.
 
-    Taken by a distributed sort with a limit; no single task ranks all ids.
+    A histogram of the hash's first bits tells in which bucket the cut lies; only that bucket's ids, some
+    few thousandths of all, are ranked.
     """
-    n = entities.count()
-    n_val = max(1, int(n * settings.val_fraction))
-    h = entities.withColumn("h", hashed(F.lit(str(settings.seed)), "source1_entity_id"))
-    first = h.orderBy("h", "source1_entity_id").limit(n_val).select("source1_entity_id", F.lit("val").alias("split"))
-    return h.join(first, "source1_entity_id", "left").select("source1_entity_id", F.coalesce("split", F.lit("train")).alias("split"))
+    h = durable(entities.select("source1_entity_id", hashed(F.lit(str(settings.seed)), "source1_entity_id").alias("h")))
+    bucket = F.shiftright("h", HASH_BITS - BUCKET_BITS)
+    counts = {r["b"]: r["n"] for r in h.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # at most 2 ** BUCKET_BITS
+    left = max(1, int(sum(counts.values()) * settings.val_fraction))
+    cut = None
+    for b in sorted(counts):
+        if counts[b] >= left:
+            cut = b
+            break
+        left -= counts[b]
+    whole = F.when(bucket < F.lit(cut), "val").otherwise("train")
+    if cut is None:
+        return h.select("source1_entity_id", whole.alias("split"))
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy("h", "source1_entity_id"))
+    at_cut = h.filter(bucket == cut).select("source1_entity_id", F.when(rank <= left, "val").otherwise("train").alias("split"))
+    return h.filter(bucket != cut).select("source1_entity_id", whole.alias("split")).unionByName(at_cut)
 
 
 def hard_negatives(cands: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.operators.storage import durable
+
 _NONE = np.iinfo(np.int64).min
 _STATE = "key string, part int, seq long, n long, first_ord long, last_ord long, max_gap long"
 
@@ -79,7 +81,9 @@ def per_key(df: DataFrame, key: str, order: str, *, partitions: int | None = Non
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(df[key].cast("string").alias("key"), df[order].cast("long").alias("ord"))
-    states = rows.repartitionByRange(n, "key", "ord").sortWithinPartitions("key", "ord").mapInPandas(_fold, _STATE)
+    # The third column lets a key whose orders tie or are null be cut as well; the fold needs no order among ties.
+    spread = rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(n, "key", "ord", "tie").drop("tie")
+    states = durable(spread.sortWithinPartitions("key", "ord").mapInPandas(_fold, _STATE))
     # At most one state per partition and key: the list is bounded by the number of partitions.
     listed = states.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "seq", "n", "first_ord", "last_ord", "max_gap"))).alias("s"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first_ord"), F.lit(None).cast("long").alias("last_ord"), F.lit(0).cast("long").alias("max_gap"))

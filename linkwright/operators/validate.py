@@ -103,8 +103,12 @@ def read_lists(spark: SparkSession, path: str, column: str, report: Report) -> D
         return None
     body = lines.filter(F.col("value") != header)
     bad = body.filter((F.instr("value", "\t") == 0) & (F.trim("value") != ""))
-    for r in bad.limit(EXAMPLES).collect():
+    examples = bad.limit(EXAMPLES).collect()
+    for r in examples:
         report.errors.append(f"{path}: malformed row (no tab): {r['value']!r}")
+    report.counts[f"{column}_malformed"] = bad.count() if len(examples) == EXAMPLES else len(examples)
+    if report.counts[f"{column}_malformed"] > EXAMPLES:
+        report.errors.append(f"{path}: {report.counts[f'{column}_malformed']} malformed rows in all")
     rows = body.filter(F.instr("value", "\t") > 0)
     parts = F.split("value", "\t", 2)
     return rows.select(parts[0].alias("source1_entity_id"), F.rtrim(parts[1]).alias(column))

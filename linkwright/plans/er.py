@@ -7,6 +7,8 @@ queries read the tables as delivered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +25,33 @@ THRESHOLD = DEFAULT.default_threshold
 
 
 class Stage:
-    """The pipeline's tables over one folder, each a lazy DataFrame."""
+    """The pipeline's tables over one folder. Normalised records, their keys and their words are made once and
+    written; everything else is lazy."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = durable(build())
+        return self._made[name]
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, f"train_{name}")
 
-    def norm(self, name: str) -> DataFrame:
+    def fresh(self, name: str) -> DataFrame:
+        """The normalised table, for queries that read it once."""
         return blocking.normalized(blocking.latest(self.raw(name)))
 
+    def norm(self, name: str) -> DataFrame:
+        return self.once(name, lambda: self.fresh(name))
+
     def others(self) -> DataFrame:
         return self.norm("source2").unionByName(self.norm("source3"))
 
     def keys(self, name: str, tags: list[str] | None = None) -> DataFrame:
-        return blocking.block_keys(self.norm(name), tags)
+        return blocking.block_keys(self.fresh(name), tags)
 
     def labels(self) -> DataFrame:
         return self.raw("matches")
@@ -50,12 +63,11 @@ class Stage:
         return pairs.label_entities(self.labels())
 
     def raw_pairs(self, tags: list[str] | None = None) -> DataFrame:
-        mine = self.keys("source1", tags)
-        both = [blocking.raw_pairs(mine, self.keys(s, tags), DEFAULT.max_posting) for s in ("source2", "source3")]
+        both = [blocking.raw_pairs(self.keys("source1", tags), self.keys(s, tags), DEFAULT.max_posting) for s in ("source2", "source3")]
         return both[0].unionByName(both[1])
 
     def candidates(self) -> DataFrame:
-        return blocking.candidates(self.norm("source1"), self.norm("source2"), self.norm("source3"))
+        return self.once("candidates", lambda: blocking.candidates(self.norm("source1"), self.norm("source2"), self.norm("source3")))
 
     def labelled(self, cands: DataFrame) -> DataFrame:
         return pairs.labelled_pairs(cands, self.truth(), self.entities())
@@ -66,13 +78,13 @@ class Stage:
 
     def validation(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Scored validation pairs, their entities and the truth of these."""
-        val = durable(self.scored(self.labelled(durable(self.candidates())).filter("split = 'val'")))
+        val = durable(self.scored(self.labelled(self.candidates()).filter("split = 'val'")))
         ents = val.select("source1_entity_id").distinct()
         return val, ents, self.truth().join(ents, "source1_entity_id", "left_semi")
 
     def results(self) -> tuple[DataFrame, DataFrame]:
         """Match lists and candidates of all source1 records."""
-        c = durable(self.candidates())
+        c = self.candidates()
         return emit.matching_results(self.raw("source1"), evaluate.predictions(self.scored(c), THRESHOLD), c), c
 
 
@@ -99,7 +111,7 @@ def _block(tag: str):
 
 def _tokens(column: str, keys) -> object:
     listed = lambda c: F.array_join(F.array_sort(keys(c)), " ")
-    return _over_sources(lambda st, s: st.norm(s).select("entity_id", listed(F.col(column)).alias("tokens")))
+    return _over_sources(lambda st, s: st.fresh(s).select("entity_id", listed(F.col(column)).alias("tokens")))
 
 
 def _na_policy(st: Stage, s: str) -> DataFrame:
@@ -184,7 +196,7 @@ def _tfidf_cosine(st: Stage, p: DataFrame) -> DataFrame:
 
 def _matrix(st: Stage) -> DataFrame:
     corpus = _names_corpus(st)
-    p = durable(st.labelled(durable(st.candidates())))
+    p = durable(st.labelled(st.candidates()))
     return features.feature_matrix(p, st.norm("source1"), st.others(), tfidf.fit(corpus, "name_norm"), tfidf.fit(corpus, "address_norm"))
 
 
@@ -196,10 +208,10 @@ QUERIES = {
     "er_normalize_name": _normalized_texts("business_name", text.normalize_name),
     "er_normalize_address": _normalized_texts("business_address", text.normalize_address),
     "er_normalize_country": _normalized_texts("country", text.normalize_country),
-    "er_normalized_table": _over_sources(lambda st, s: st.norm(s)),
+    "er_normalized_table": _over_sources(lambda st, s: st.fresh(s)),
     "er_sig_name_tokens": _tokens("name_norm", text.name_tokens),
     "er_sig_addr_tokens": _tokens("address_norm", text.address_tokens),
-    "er_numeric_tokens": _over_sources(lambda st, s: st.norm(s).select("entity_id", F.array_join(F.array_sort(text.numeric_tokens(F.col("name_norm"), F.col("address_norm"))), " ").alias("tokens"))),
+    "er_numeric_tokens": _over_sources(lambda st, s: st.fresh(s).select("entity_id", F.array_join(F.array_sort(text.numeric_tokens(F.col("name_norm"), F.col("address_norm"))), " ").alias("tokens"))),
     "er_sample_rows": _over_sources(lambda st, s: profile.sample_rows(st.raw(s))),
     "er_profile_source": _over_sources(lambda st, s: profile.source_profile(st.raw(s), PREFIX[s])),
     "er_country_hist": _over_sources(lambda st, s: profile.country_histogram(st.raw(s))),
@@ -227,13 +239,13 @@ QUERIES = {
     "er_candidate_lists": _on(lambda st: emit.candidate_lists(st.candidates())),
     "er_recovered_pairs": _on(lambda st: pairs.recovered(st.truth(), st.candidates())),
     "er_missed_pairs": _on(lambda st: pairs.missed(st.truth(), st.candidates())),
-    "er_blocking_recall": _on(lambda st: pairs.blocking_recall(st.truth(), durable(st.candidates()))),
+    "er_blocking_recall": _on(lambda st: pairs.blocking_recall(st.truth(), st.candidates())),
     "er_strategy_counts": _on(lambda st: pairs.strategy_counts(st.candidates())),
     # pairs and features
     "er_split": _on(lambda st: pairs.split_entities(st.entities())),
     "er_hard_negatives": _on(lambda st: pairs.hard_negatives(st.candidates(), st.truth(), st.entities())),
     "er_neg_sample": _on(lambda st: pairs.sampled_negatives(pairs.hard_negatives(st.candidates(), st.truth(), st.entities()))),
-    "er_pair_stats": _on(lambda st: pairs.pair_stats(st.labelled(durable(st.candidates())))),
+    "er_pair_stats": _on(lambda st: pairs.pair_stats(st.labelled(st.candidates()))),
     "er_pair_attrs": _on(lambda st: _attributes(st, _label_pairs(st))),
     "er_features_exact": _on(lambda st: _label_features(st).select(*pairs.KEYS, *features.EXACT)),
     "er_features_token": _on(lambda st: _rounded(_label_features(st), features.TOKEN)),

@@ -231,7 +231,7 @@ SQL = {
     "er_country_hist": f"{NORM} SELECT source, CASE WHEN {_missing('country')} THEN '__MISSING__' ELSE {_strip('country')} END AS country, count(*) AS n_rows FROM sources GROUP BY 1, 2",
     "er_gt_explode": f"WITH {_PARSED} SELECT source1_entity_id, unnest(ids) AS candidate_entity_id FROM p",
     "er_gt_sets": f"{NORM} SELECT source1_entity_id, candidate_entity_id FROM entities LEFT JOIN truth USING (source1_entity_id)",
-    "er_gt_profile": f"WITH {_PARSED} SELECT count(*) AS n_rows, count(DISTINCT coalesce(source1_entity_id, '')) AS n_source1, count(*) - count(DISTINCT coalesce(source1_entity_id, '')) AS n_duplicate_rows, count(*) FILTER (WHERE len(ids) = 0) AS n_zero, count(*) FILTER (WHERE len(ids) > 0) AS n_some, sum(len(ids))::BIGINT AS n_matched, round(avg(len(ids)), 6) AS mean_matches, sum(len(list_filter(ids, lambda x: starts_with(x, 'S2-'))))::BIGINT AS n_s2, sum(len(list_filter(ids, lambda x: starts_with(x, 'S3-'))))::BIGINT AS n_s3, sum(len(list_filter(ids, lambda x: NOT starts_with(x, 'S2-') AND NOT starts_with(x, 'S3-'))))::BIGINT AS n_other, count(*) FILTER (WHERE len(ids) <> len(list_distinct(ids))) AS n_lists_with_repeats FROM p",
+    "er_gt_profile": f"WITH {_PARSED} SELECT count(*) AS n_rows, count(DISTINCT coalesce(source1_entity_id, '')) AS n_source1, count(*) - count(DISTINCT coalesce(source1_entity_id, '')) AS n_duplicate_rows, count(*) FILTER (WHERE len(ids) = 0) AS n_zero, count(*) FILTER (WHERE len(ids) > 0) AS n_some, sum(len(ids))::BIGINT AS n_matched, round(avg(len(ids)), 6) AS mean_matches, sum(len(list_filter(ids, lambda x: starts_with(x, 'S2-'))))::BIGINT AS n_s2, sum(len(list_filter(ids, lambda x: starts_with(x, 'S3-'))))::BIGINT AS n_s3, sum(len(list_filter(ids, lambda x: NOT starts_with(x, 'S2-') AND NOT starts_with(x, 'S3-'))))::BIGINT AS n_other, count(*) FILTER (WHERE len(ids) <> len(list_distinct(ids))) AS n_lists_with_repeats, (SELECT count(DISTINCT i) FROM (SELECT unnest(ids) AS i FROM p)) AS n_distinct_matched FROM p",
     "er_match_hist": f"WITH {_PARSED} SELECT len(ids)::INTEGER AS n_matches, count(*) AS n_rows FROM p GROUP BY 1",
     "er_id_coverage": f"{NORM}, a AS (SELECT DISTINCT entity_id AS id FROM train_source1 ANTI JOIN entities ON entity_id = source1_entity_id), b AS (SELECT DISTINCT source1_entity_id AS id FROM entities ANTI JOIN train_source1 ON entity_id = source1_entity_id) SELECT 'only_source1' AS side, count(*) AS n_ids, array_to_string(list_sort(list(id))[1:5], ',') AS sample_ids FROM a UNION ALL SELECT 'only_labels', count(*), coalesce(array_to_string(list_sort(list(id))[1:5], ','), '') FROM b",
     "er_cartesian_size": "SELECT (SELECT count(*) FROM train_source1) * ((SELECT count(*) FROM train_source2) + (SELECT count(*) FROM train_source3)) AS n_pairs",

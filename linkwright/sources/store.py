@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from linkwright.config import DEFAULT, Settings
+from linkwright.sources import files
 
 
 class Store:
@@ -17,20 +17,29 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings = DEFAULT) -> None:
         self.spark, self.folder = spark, f"{folder}/{settings.fingerprint()}"
+        self._rebuilt: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     def exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/_SUCCESS")
-        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+        return files.exists(f"{self.path(name)}/_SUCCESS")
+
+    def stale(self, name: str, force: bool) -> bool:
+        """Whether the table has to be built: it is not there, or is to be rebuilt and this run has not done so yet."""
+        return not self.exists(name) or (force and name not in self._rebuilt)
 
     def materialize(self, name: str, build: Callable[[], DataFrame], *, force: bool = False, by: list[str] | None = None) -> DataFrame:
-        """The table, built and written unless it is complete already."""
-        if force or not self.exists(name):
-            w = build().write.mode("overwrite")
-            (w.partitionBy(*by) if by else w).parquet(self.path(name))
+        """The table, built and written unless it is complete already; with `force` built again, once in a run.
+
+        It is written aside and takes its place when complete: a table that the build itself reads, or a run that fails, does no harm.
+        """
+        if self.stale(name, force):
+            aside = f"{self.folder}/_{name}-{uuid.uuid4().hex}"
+            w = build().write
+            (w.partitionBy(*by) if by else w).parquet(aside)
+            files.replace(aside, self.path(name))
+            self._rebuilt |= {name} if force else set()
         return self.load(name)
 
     def load(self, name: str) -> DataFrame:
@@ -41,13 +50,11 @@ class Store:
 
 
 def write_json(path: str, value: object) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str) + "\n", encoding="utf-8")
+    files.write_text(path, json.dumps(value, indent=2, sort_keys=True, default=str) + "\n")
 
 
 def write_text(path: str, lines: list[str]) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    files.write_text(path, "\n".join(lines) + "\n")
 
 
 def save_threshold(path: str, threshold: float, f05: float) -> None:
@@ -56,12 +63,18 @@ def save_threshold(path: str, threshold: float, f05: float) -> None:
 
 def load_threshold(path: str, default: float = DEFAULT.default_threshold) -> tuple[float, str | None]:
     """(threshold, warning): the stored one, or the default with a warning."""
-    if not os.path.isfile(path):
+    if not files.exists(path):
         return default, f"no stored threshold at {path}, using {default}"
-    return float(json.loads(Path(path).read_text(encoding="utf-8"))["threshold"]), None
+    return float(json.loads(files.read_text(path))["threshold"]), None
+
+
+def report_rows(df: DataFrame, most: int = 100) -> list[dict]:
+    """A small result table as dictionaries; beyond `most` rows the last one says how many follow."""
+    rows = [r.asDict() for r in df.limit(most).collect()]
+    more = df.count() - most if len(rows) == most else 0
+    return rows + ([{"more_rows": more}] if more > 0 else [])
 
 
 def report_lines(title: str, df: DataFrame, most: int = 100) -> list[str]:
-    """A small result table (at most `most` rows) as text."""
-    rows = df.limit(most).collect()
-    return [title, *["  " + "  ".join(f"{c}={r[c]}" for c in df.columns) for r in rows], ""]
+    """The same as text."""
+    return [title, *["  " + "  ".join(f"{c}={v}" for c, v in r.items()) for r in report_rows(df, most)], ""]

@@ -1,31 +1,30 @@
 """Tab-separated source and label files: reading, schema checks, writing.
 
 Read policy: every column a string; quotes are doubled inside quotes, fields may span lines; texts
-that stand for nothing become null; rows with too many fields are dropped, short rows are filled
-with nulls.
+that stand for nothing become null; rows with too many fields are dropped (`surplus_rows` counts them), short
+rows are filled with nulls. A file is split among tasks unless one of its fields spans lines.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwright.config import LABEL_COLUMNS, PREFIX, SOURCE_COLUMNS
 from linkwright.functions.text import na_to_null
+from linkwright.sources import files
 
 _EXTRA = "_extra"
 
 
-def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...], *, multiline: bool = True) -> DataFrame:
-    """The file's rows under the policy above, columns by header name.
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a field holds a line end: then some line has an odd number of quotes. Stops at the first."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
-    ValueError if the header lacks one of `columns`; other columns are tolerated and kept.
-    FileNotFoundError if there is no file. multiline=False lets Spark split large files, for
-    data whose fields hold no line ends.
-    """
+
+def _raw(spark: SparkSession, path: str, columns: tuple[str, ...], multiline: bool | None) -> tuple[DataFrame, list[str]]:
     header = header_of(spark, path)
     if header is None:
         raise FileNotFoundError(path)
@@ -35,25 +34,40 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...], *, multil
         raise ValueError(f"{path}: missing columns {sorted(lacking)}")
     # One more column than the header has: it is filled only where a row is too long.
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
-    df = spark.read.schema(schema).options(sep="\t", header=True, escape='"', multiLine=multiline, mode="PERMISSIVE", enforceSchema=True).csv(path)
+    whole = spans_lines(spark, path) if multiline is None else multiline
+    return spark.read.schema(schema).options(sep="\t", header=True, escape='"', multiLine=whole, mode="PERMISSIVE", enforceSchema=True).csv(path), names
+
+
+def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...], *, multiline: bool | None = None) -> DataFrame:
+    """The file's rows under the policy above, columns by header name.
+
+    ValueError if the header lacks one of `columns`; other columns are tolerated and kept.
+    FileNotFoundError if there is no file. multiline: whether fields span lines, in which case one task
+    reads the file; by default the file is looked through for it.
+    """
+    df, names = _raw(spark, path, columns, multiline)
     return df.filter(F.col(_EXTRA).isNull()).select(*[na_to_null(F.col(n)).alias(n) for n in names])
 
 
-def read_source(spark: SparkSession, path: str, *, columns: tuple[str, ...] | None = None, multiline: bool = True) -> DataFrame:
+def surplus_rows(spark: SparkSession, path: str, columns: tuple[str, ...], *, multiline: bool | None = None) -> int:
+    """How many rows `read_tsv` drops because they have too many fields."""
+    return _raw(spark, path, columns, multiline)[0].filter(F.col(_EXTRA).isNotNull()).count()
+
+
+def read_source(spark: SparkSession, path: str, *, columns: tuple[str, ...] | None = None, multiline: bool | None = None) -> DataFrame:
     """A source file; `columns` prunes after the check that all required ones exist."""
     df = read_tsv(spark, path, SOURCE_COLUMNS, multiline=multiline)
     return df.select(*columns) if columns else df
 
 
-def read_labels(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, *, multiline: bool | None = None) -> DataFrame:
     """A label file."""
     return read_tsv(spark, path, LABEL_COLUMNS, multiline=multiline)
 
 
 def header_of(spark: SparkSession, path: str) -> str | None:
     """First line of the file; None if there is no file, '' if it is empty."""
-    local = path.removeprefix("file://")
-    if "://" not in local and not os.path.exists(local):
+    if not files.exists(path):
         return None
     first = spark.read.text(path).limit(1).collect()
     return (first[0]["value"] or "") if first else ""

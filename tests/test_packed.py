@@ -12,6 +12,7 @@ CASES = [
     ("{S2-1,S3-2}", ["S2-1", "S3-2"]),
     ("S2-1，S3-2\tS2-3\nS2-4", ["S2-1", "S3-2", "S2-3", "S2-4"]),
     ('"S2-1', ["S2-1"]),
+    ('S2-1"S3-2"', ["S2-1", "S3-2"]), ('"S3-2"S2-1', ["S3-2", "S2-1"]), ('S2-1"S3-2;S2-3"S2-4', ["S2-1", "S3-2", "S2-3", "S2-4"]),
     ("S2-10", ["S2-10"]),
     ("none", []), ("", []), ('""', []), ("[]", []), (",", []), (None, []), ("NA", []),
 ]

@@ -29,6 +29,15 @@ def test_hot_key_is_spread(spark):
     assert hot["n_parts"] >= 5 and hot["n"] == 16_000 and hot["max_gap"] == 3
 
 
+def test_hot_key_of_ties_is_spread(spark):
+    """Orders that are all the same, or all null, do not keep a key in one task."""
+    df = spark.range(20_000).selectExpr("if(id % 10 < 8, 'tied', 'null') as k", "if(id % 10 < 8, 5L, null) as o")
+    got = {r["key"]: r for r in per_key(df, "k", "o", partitions=8).collect()}
+    assert got["tied"]["n_parts"] >= 4 and got["null"]["n_parts"] >= 2
+    assert (got["tied"]["n"], got["tied"]["first_ord"], got["tied"]["max_gap"]) == (16_000, 5, 0)
+    assert (got["null"]["n"], got["null"]["first_ord"], got["null"]["last_ord"]) == (4_000, None, None)
+
+
 def test_small_batches(spark):
     """Keys that reach over Arrow batches keep one state."""
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
