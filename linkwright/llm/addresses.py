@@ -1,189 +1,14 @@
-"""Reading hand-typed postal addresses, and pairing the records that lie at one place."""
+"""Postal places: pairing the records that lie at one place, whatever way their addresses are written."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from linkwright.llm.reading import with_address
 from linkwright.llm.splits import components
-from linkwright.llm.wording import DIRECTIONS, FORM_OF_KIND, HOUSE_WORDS, KINDS, LANDMARK_LEADS, ORDINALS, UNIT_WORDS, distance, plain, sound
 from linkwright.operators.storage import durable
 
-_TOKEN = re.compile(r"[a-z0-9]+|[,;\n]| - ")
-_DOTTED = re.compile(r"(?<=\b[a-z])\.(?=[a-z]\b)")
-_ZIP4 = re.compile(r"\b(\d{5})-\d{4}\b")
-_SEPARATORS = {",", ";", "\n", " - "}
-_LONG = re.compile(r"(?<![a-z0-9])\d{5,6}(?![a-z0-9])")
-_NUMBER = re.compile(r"(\d+)([a-z]?)$")
-_ORDINAL = re.compile(r"\d+(st|nd|rd|th)$")
-
-
-@lru_cache(maxsize=1 << 14)
-def kind_of(word: str) -> str | None:
-    """The kind of street that `word` writes, typos in the longer forms included."""
-    if word in FORM_OF_KIND:
-        return FORM_OF_KIND[word]
-    if len(word) >= 3:
-        for kind in KINDS:
-            if len(kind) >= 4 and word[0] == kind[0] and distance(word, kind, 1) <= 1:
-                return kind
-            if len(kind) >= 6 and distance(word, kind, 2) <= 2 and word[0] == kind[0]:
-                return kind
-    return None
-
-
-def _lead(word: str, words: set[str]) -> bool:
-    return word in words or (len(word) >= 4 and any(len(w) >= 4 and w[0] == word[0] and distance(word, w, 1) <= 1 for w in words))
-
-
-def _house_at(tok: list[str], i: int) -> bool:
-    """Whether a street with its kind follows the number at `i`."""
-    j = i + 1
-    if j + 1 < len(tok) and re.fullmatch("[a-d]", tok[j]) and tok[j + 1] not in _SEPARATORS:
-        j += 1
-    if j < len(tok) and tok[j] == ",":
-        j += 1
-    if j + 2 < len(tok) and tok[j] in DIRECTIONS:
-        j += 1
-    return j + 1 < len(tok) and tok[j] not in _SEPARATORS and not tok[j].isdigit() and tok[j] not in LANDMARK_LEADS and kind_of(tok[j + 1]) is not None
-
-
-def _long_house(tok: list[str]) -> int:
-    """Where the house number stands if it has five or six digits like a postal code; -1 if none does.
-
-    It comes before any other number and is followed by a street and its kind, or by a street alone if
-    the code comes later.
-    """
-    for i, t in enumerate(tok):
-        if not t[0].isdigit() or _ORDINAL.match(t):
-            continue
-        if i and tok[i - 1] in ("pin", "zip"):
-            continue
-        if not (t.isdigit() and len(t) in (5, 6)):
-            if i and (tok[i - 1] in UNIT_WORDS or len(tok[i - 1]) >= 5 and _lead(tok[i - 1], {"suite", "office", "sector"})) or i > 1 and tok[i - 1] in ("no", "num", "number") and tok[i - 2] in UNIT_WORDS:
-                continue  # the number of a suite
-            return -1
-        if _house_at(tok, i):
-            return i
-        first = all(x == "," or _lead(x, HOUSE_WORDS) for x in tok[:i])
-        later = any(x.isdigit() and len(x) in (5, 6) or x.isdigit() and len(x) == 3 and len(y) == 3 and y.isdigit() for x, y in zip(tok[i + 1 :], [*tok[i + 2 :], ""]))
-        if first and later and i + 1 < len(tok) and tok[i + 1] not in _SEPARATORS and not tok[i + 1].isdigit():
-            return i
-    return -1
-
-
-def read_address(text: str | None) -> tuple | None:
-    """(number, letter, direction, street, kind, other words, postal code); None without a number or street.
-
-    Suites, shops, floors, sectors and landmarks are left out. Missing parts are empty strings; the
-    other words (town, state) come in their order.
-    """
-    if not text:
-        return None
-    s = _ZIP4.sub(r"\1", plain(text).replace("#", " no "))
-    s = _DOTTED.sub("", s)
-    tok = _TOKEN.findall(s)
-    sep, house = _SEPARATORS, _long_house(tok) if _LONG.search(s) else -1
-    code, keep, i, n = "", [], 0, len(tok)
-    while i < n:
-        t = tok[i]
-        if t in sep:
-            keep.append(",")
-            i += 1
-            continue
-        if t == "pin" or t == "zip":
-            i += 1
-            continue
-        if t.isdigit():
-            if len(t) in (5, 6) and i != house:
-                code = code or t
-                keep.append(",")
-                i += 1
-                continue
-            if len(t) == 3 and i + 1 < n and tok[i + 1].isdigit() and len(tok[i + 1]) == 3 and not code:
-                code = t + tok[i + 1]
-                keep.append(",")
-                i += 2
-                continue
-        if t in LANDMARK_LEADS:
-            i += 1
-            took = 0
-            while i < n and tok[i] not in sep and took < 2:
-                took += tok[i] != "old"
-                i += 1
-            keep.append(",")
-            continue
-        if t in UNIT_WORDS or (len(t) >= 5 and _lead(t, {"suite", "office", "sector"})):
-            j = i + 1
-            while j < n and tok[j] in ("no", "num", "number", " - "):
-                j += 1
-            if j < n and re.fullmatch(r"\d+[a-z]?", tok[j]):
-                keep.append(",")
-                i = j + 1
-                continue
-        m = re.fullmatch(r"(ste|sec|fl|shop|unit|suite|sector)(\d+)", t)
-        if m:
-            keep.append(",")
-            i += 1
-            continue
-        keep.append(ORDINALS.get(t, t))
-        i += 1
-    # the house number: the first number left that is no ordinal
-    for at, t in enumerate(keep):
-        m = _NUMBER.match(t)
-        if not m or _ORDINAL.match(t):
-            continue
-        number, letter = m.group(1).lstrip("0") or "0", m.group(2)
-        j = at + 1
-        if not letter and j + 1 < len(keep) and re.fullmatch("[a-d]", keep[j]):
-            letter = keep[j]
-            j += 1
-        while j < len(keep) and keep[j] == ",":
-            j += 1
-        direction = ""
-        if j + 1 < len(keep) and keep[j] in DIRECTIONS and keep[j + 1] != ",":
-            direction = DIRECTIONS[keep[j]]
-            j += 1
-        if j >= len(keep) or keep[j] == ",":
-            return None
-        street, kind = keep[j], ""
-        j += 1
-        if j < len(keep) and (k := kind_of(keep[j])):
-            kind = k
-            j += 1
-        if not direction and j < len(keep) and keep[j] in DIRECTIONS:
-            direction = DIRECTIONS[keep[j]]
-            j += 1
-        before = [w for w in keep[:at] if w != "," and not _lead(w, HOUSE_WORDS)]
-        rest = [w for w in before + keep[j:] if w != "," and len(w) > 1]
-        return number, letter, direction, street, kind, tuple(rest), code
-    return None
-
-
-_NAMES = ["number", "letter", "direction", "street", "street_sound", "kind", "rest", "code"]
-_FIELDS = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "rest" else T.StringType()) for n in _NAMES])
-
-
-@F.pandas_udf(_FIELDS)
-def address_fields(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """`read_address` of every text; all fields null where it finds no place."""
-    for texts in batches:
-        rows = []
-        for t in texts:
-            a = read_address(t)
-            rows.append((*a[:4], sound(a[3]), a[4], list(a[5]), a[6]) if a else (None,) * 8)
-        yield pd.DataFrame(rows, columns=_NAMES)
-
-
-# Filters on the fields must not be pushed below an exchange, or every text is read twice.
-address_fields = address_fields.asNondeterministic()
-
 
 def town_of_code(read: DataFrame) -> DataFrame:
     """(code, town): for each postal code the word that goes with it most, learned from the addresses.
@@ -204,7 +29,7 @@ def town_of_code(read: DataFrame) -> DataFrame:
 
 
 def with_town(read: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """`read` (columns of `address_fields`) with `town`: a known town's name among the other words,
+    """`read` (columns of `with_address`) with `town`: a known town's name among the other words,
     else the town of the postal code, else the known town that a word nearly spells, else ''."""
     codes = durable(town_of_code(learn_from if learn_from is not None else read))
     towns = codes.select("town").distinct()
@@ -245,13 +70,13 @@ def places(df: DataFrame, key: str, address: str) -> DataFrame:
 
     Equal readings are one form from the start, so a place with any number of records costs one
     form. Forms are blocked on their digits (number, letter, direction) plus one rare word: the
-    street by sound, or the town with the street's beginning or end. Within a block, words that both
+    street by sound with the town (without it only where one of the forms has no town), or the town with the street's beginning or end. Within a block, words that both
     have count by rarity; words left over must be near in spelling. A form then joins the most alike
     form that is more complete or more frequent; chains of these end at a place.
     """
     rows = df.select(df[key].cast("string").alias("id"), df[address].alias("__a")).filter("id is not null and __a is not null").distinct()
-    read = rows.select("id", address_fields("__a").alias("f")).select("id", "f.*").filter("number is not null")
-    read = durable(with_town(durable(read)))
+    read = durable(with_address(rows, "__a").drop("__a")).filter("number is not null")
+    read = durable(with_town(read))
     part = ["number", "letter", "direction", "street", "street_sound", "kind", "town"]
     forms = read.groupBy(*part).agg(F.countDistinct("id").alias("n"))
     forms = forms.withColumn("form", F.concat_ws("|", "number", "letter", "direction", "street", "kind", "town"))
@@ -262,9 +87,15 @@ def places(df: DataFrame, key: str, address: str) -> DataFrame:
     # More complete first, then more frequent; the form's text decides among equals.
     rank = F.struct((F.when(F.col("kind") != "", 2).otherwise(0) + F.when(F.col("town") != "", 1).otherwise(0)).alias("whole"), F.col("n").alias("n"), F.col("form").alias("form"))
     digits = F.concat_ws("/", "number", "letter", "direction")
-    keys = F.array(F.concat_ws("|", digits, F.lit("s"), "street_sound"), F.when(F.col("town") != "", F.concat_ws("|", digits, F.lit("b"), "town", F.substring("street", 1, 2))), F.when(F.col("town") != "", F.concat_ws("|", digits, F.lit("e"), "town", F.substring("street", -3, 3))))
-    blocked = durable(full.select("form", "street", "street_sound", "kind", "town", "words", "weight", rank.alias("rank"), F.explode(F.filter(F.array_distinct(keys), lambda k: k.isNotNull())).alias("key")))
-    a, b = blocked.alias("a"), blocked.alias("b")
+    no_town, sound = F.col("town") == "", F.concat_ws("|", digits, F.lit("s"), "street_sound")
+    # The street without a town is a key only where one of the two forms has none: else a street name of many towns would be one block.
+    asks, answers = F.lit("any town"), F.lit("no town")
+    in_town = [F.concat_ws("|", sound, "town"), F.concat_ws("|", digits, F.lit("b"), "town", F.substring("street", 1, 2)), F.concat_ws("|", digits, F.lit("e"), "town", F.substring("street", -3, 3))]
+    left = F.when(no_town, F.array(F.concat_ws("|", sound, asks))).otherwise(F.array(F.concat_ws("|", sound, answers), *in_town))
+    right = F.when(no_town, F.array(F.concat_ws("|", sound, asks), F.concat_ws("|", sound, answers))).otherwise(F.array(F.concat_ws("|", sound, asks), *in_town))
+    ranked = durable(full.select("form", "street", "street_sound", "kind", "town", "words", "weight", rank.alias("rank"), left.alias("left"), right.alias("right")))
+    a = ranked.withColumn("key", F.explode_outer("left")).drop("left", "right").alias("a")
+    b = ranked.withColumn("key", F.explode_outer("right")).drop("left", "right").alias("b")
     both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") < F.col("b.rank")))
     ok = both.filter(
         ((F.col("a.kind") == F.col("b.kind")) | (F.col("a.kind") == "") | (F.col("b.kind") == ""))
@@ -290,3 +121,9 @@ def pairs_within(members: DataFrame, key: str, group: str) -> DataFrame:
     a = members.select(F.col(key).alias("entity_id_a"), group)
     b = members.select(F.col(key).alias("entity_id_b"), group)
     return a.join(b, group).filter("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+
+
+def group_sizes(members: DataFrame, key: str, group: str) -> DataFrame:
+    """(key, group, n_linked): every member with its group and how many others that has; no pair is made."""
+    size = members.groupBy(group).agg((F.count("*") - 1).alias("n_linked"))
+    return members.join(size, group).select(key, group, "n_linked")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkwright.llm.reading import plain as plain_column
 from linkwright.llm.splits import components
 from linkwright.llm.wording import DIRECTIONS, FAMILY, FORM_OF_KIND, FORMAL_NAME, LEGAL, distance, plain, sound, variant_cost
 from linkwright.operators.storage import durable
@@ -167,10 +170,13 @@ def general_labels(named: DataFrame) -> list[str]:
     housed = F.coalesce("house", F.lit("")) != ""
     per = named.groupBy("k").agg(F.count("*").alias("n"), F.count_if(housed).alias("m"), F.countDistinct(F.when(housed, F.col("house"))).alias("places"))
     often = durable(per.filter((F.col("n") >= max(LABEL_LEAST, LABEL_SHARE * n)) & (F.col("places") >= LABEL_NUMBERS)))
-    numbers = named.filter(housed).groupBy("house").agg(F.count("*").alias("c"))
-    share = F.col("c") / F.lit(float(max(1, named.filter(housed).count())))
-    expected = numbers.crossJoin(F.broadcast(often)).groupBy("k").agg(F.sum(1 - F.pow(1 - share, F.col("m"))).alias("expected"), F.max("places").alias("places"))
-    found = sorted(r["k"] for r in expected.filter(F.col("places") >= LABEL_PLACES * F.col("expected")).select("k").collect())
+    # What so many rows drawn from all would show, on a grid of row counts: every number adds its chance of being drawn.
+    total = named.filter(housed).count()
+    grid = [1.25**i for i in range(math.ceil(math.log(max(2, total), 1.25)) + 1)]
+    share = F.col("c") / F.lit(float(max(1, total)))
+    chances = named.filter(housed).groupBy("house").agg(F.count("*").alias("c")).agg(*[F.sum(1 - F.pow(1 - share, F.lit(m))).alias(f"m{i}") for i, m in enumerate(grid)]).collect()[0]
+    shown = [chances[i] or 0.0 for i in range(len(grid))]
+    found = sorted(r["k"] for r in often.select("k", "m", "places").collect() if r["places"] >= LABEL_PLACES * float(np.interp(r["m"], grid, shown)))  # fewer than 1 / LABEL_SHARE
     if not found:
         return found
     # trade words of the other names; shorter ones are mostly misspelt labels
@@ -215,22 +221,21 @@ def common_words(names: DataFrame) -> list[str]:
     return [w for w, c in often.items() if w in filler or (w in alone and (w not in partners or free.get(w, 0) >= OTHERS_SHARE * c))]
 
 
-def near_label(labels: list[str]):
-    """Arrow UDF: whether a name (as `key_of`) is a label or a misspelt one."""
-    compact = sorted({re.sub(r"\W", "", x) for x in labels})
+def unlabelled(spelled: DataFrame, labels: list[str]) -> DataFrame:
+    """Rows of `spelled` (k, as `key_of`) that are neither a label nor a misspelt one, words swapped or not.
 
-    @F.pandas_udf(T.BooleanType())
-    def is_label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        @lru_cache(maxsize=1 << 18)
-        def check(k: str) -> bool:
-            words = [w for w in plain(k).translate(_DIGIT).split() if w not in LEGAL]
-            forms = {"".join(words), "".join(reversed(words))}
-            return any(abs(len(f) - len(c)) <= 2 and distance(f, c, 2) <= (2 if len(c) >= 8 else 1) for f in forms for c in compact)
-
-        for s in batches:
-            yield s.map(lambda k: bool(k) and check(k))
-
-    return is_label
+    A misspelt label still begins or ends like one; there are fewer labels than 1 / LABEL_SHARE.
+    """
+    ends = lambda c: F.array(F.substring(c, 1, 3), F.substring(c, -3, 3))
+    one = F.filter(F.split(F.translate(plain_column(F.col("k")), "015", "ols"), " "), lambda w: ~w.isin(sorted(LEGAL)))
+    forms = spelled.select("k", F.explode(F.array_distinct(F.array(F.array_join(one, ""), F.array_join(F.reverse(one), "")))).alias("f"))
+    known = spelled.sparkSession.createDataFrame([(re.sub(r"\W", "", x),) for x in labels], "label string").distinct()
+    asked = forms.select("k", "f", F.explode(ends(F.col("f"))).alias("e"))
+    near = asked.join(F.broadcast(known.select("label", F.explode(ends(F.col("label"))).alias("e"))), "e")
+    d = F.levenshtein("f", "label", 3)
+    swapped = (d == 2) & (F.array_sort(F.split("f", "")) == F.array_sort(F.split("label", "")))
+    hit = near.filter(d.between(0, 2) & ((F.length("label") >= 8) | (d <= 1) | swapped))
+    return spelled.join(hit.select("k").distinct(), "k", "left_anti")
 
 
 def read_names(df: DataFrame, key: str, name: str, address: str) -> DataFrame:
@@ -239,53 +244,92 @@ def read_names(df: DataFrame, key: str, name: str, address: str) -> DataFrame:
     rows = durable(rows)
     labels = general_labels(rows)
     spelled = rows.select("k").distinct()
-    own = spelled.filter(~near_label(labels)(F.col("k"))) if labels else spelled
+    own = unlabelled(spelled, labels) if labels else spelled
     kept = durable(rows.select("id", "name", "k").distinct().join(own, "k"))
     read = name_reader(common_words(kept))
     forms = kept.select("name").distinct().select("name", read("name").alias("r"))
     return kept.join(forms, "name").select("id", "r.*").filter(F.size("proper") > 0).distinct()
 
 
-# Costs of the channel: what a variant of a canonical spelling is charged, in units of log likelihood.
-EDIT, SOUND, INITIAL, NO_TRADE, MERGED, GIVEN, MOST = 1.2, 0.7, 2.5, 2.0, 1.0, 0.7, 6.5
+# First guesses of what a change of a name costs, in units of log likelihood, and the largest sum a candidate may have by them.
+# The rates that decide are learned from the corpus (`learned_costs`).
+EDIT, SOUND, INITIAL, NO_TRADE, MERGED, SWAPPED, GIVEN, MOST = 1.2, 0.7, 2.5, 2.0, 1.0, 0.3, 0.7, 6.5
+#: What can happen to a name, each with its first guess; a pair of names is a count of each.
+CHANGES = {"edit": EDIT, "sound": SOUND, "initial": INITIAL, "merged": MERGED, "swapped": SWAPPED, "no_trade": NO_TRADE, "given": GIVEN}
+_KINDS = T.StructType([T.StructField(k, T.IntegerType()) for k in ("edit", "sound", "initial", "merged", "swapped")])
 
 
-@F.pandas_udf(T.DoubleType())
-def channel_cost(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Cost of writing the canonical words `b` as the words `a`; infinite if that can't be."""
-    never = float("inf")
+@F.pandas_udf(_KINDS)
+def channel_changes(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """How often each change makes the canonical words `b` the words `a`, the likeliest way; -1 throughout if that can't be."""
+    never = (float("inf"), (-1,) * 5)
 
-    @lru_cache(maxsize=1 << 16)
-    def word(a: str, b: str) -> float:
+    @lru_cache(maxsize=1 << 14)
+    def word(a: str, b: str) -> tuple[float, tuple[int, ...]]:
         if a == b:
-            return 0.0
+            return 0.0, (0, 0, 0, 0, 0)
         if len(a) == 1 or len(b) == 1:
-            return INITIAL if a[0] == b[0] else never
+            return (INITIAL, (0, 0, 1, 0, 0)) if a[0] == b[0] else never
         sa, sb = sound(a), sound(b)
         if sa == sb:
-            return SOUND
+            return SOUND, (0, 1, 0, 0, 0)
         short = min(len(a), len(b))
         most = 2 if short >= 6 else 1 if short >= 4 else 0
-        d = min(distance(a, b, most), distance(sa, sb, most) + 0.6)
-        return EDIT * d if d <= most + 0.6 and min(distance(a, b, most), distance(sa, sb, most)) <= most else never
+        d, e = distance(a, b, most), distance(sa, sb, most)
+        if min(d, e) > most:
+            return never
+        return (EDIT * d, (d, 0, 0, 0, 0)) if d <= e + 0.5 else (EDIT * e + SOUND, (e, 1, 0, 0, 0))
+
+    def both(x, y, more: int | None = None):
+        if x[0] == never[0] or y[0] == never[0]:
+            return never
+        n = [p + q for p, q in zip(x[1], y[1])]
+        if more is not None:
+            n[more] += 1
+        return x[0] + y[0] + (list(CHANGES.values())[more] if more is not None else 0.0), tuple(n)
+
+    none = (0.0, (0, 0, 0, 0, 0))
 
-    def whole(a: list[str], b: list[str]) -> float:
+    def whole(a: list[str], b: list[str]):
         if len(a) == 1 and len(b) == 2 and len(a[0]) > 9:
-            return MERGED + min(word(a[0], b[0] + b[1]), word(a[0], b[1] + b[0]))
+            return min(both(word(a[0], b[0] + b[1]), none, 3), both(word(a[0], b[1] + b[0]), none, 3))
         if len(b) == 1 and len(a) == 2 and len(b[0]) > 9:
-            return MERGED + min(word(b[0], a[0] + a[1]), word(b[0], a[1] + a[0]))
+            return min(both(word(b[0], a[0] + a[1]), none, 3), both(word(b[0], a[1] + a[0]), none, 3))
         if len(a) != len(b):
             return never
-        if len(a) == 1:
-            return word(a[0], b[0])
         if len(a) == 2:
-            straight, crossed = word(a[0], b[0]) + word(a[1], b[1]), word(a[0], b[1]) + word(a[1], b[0]) + 0.3
-            best = min(straight, crossed)
-            return best if best < 2 * INITIAL else never  # two initials name nobody
-        return sum(word(x, y) for x, y in zip(a, b))
+            best = min(both(word(a[0], b[0]), word(a[1], b[1])), both(word(a[0], b[1]), word(a[1], b[0]), 4))
+            return best if best[1][2] < 2 else never  # two initials name nobody
+        total = none
+        for x, y in zip(a, b):
+            total = both(total, word(x, y))
+        return total
 
     for a, b in batches:
-        yield pd.Series([whole(list(x), list(y)) for x, y in zip(a, b)], dtype=float)
+        yield pd.DataFrame([whole(list(x), list(y))[1] for x, y in zip(a, b)], columns=_KINDS.names)
+
+
+def learned_costs(fit: DataFrame, rounds: int = 3) -> DataFrame:
+    """(pattern, cost): the cost of each pattern of changes, learned from the candidate pairs `fit` (form, n, to, to_rank, pattern, guess).
+
+    Each round attaches every form to its candidate of largest posterior (prior of the candidate, cost of
+    the pattern) and counts what changes the attachments show, weighed by the records of the form; the rate of a pattern
+    among them, smoothed by the first guess, gives its cost. Patterns are counts of seven changes, so there are some hundreds of them, whatever the data.
+    """
+    spark = fit.sparkSession
+    costs = fit.groupBy("pattern").agg(F.first("guess").alias("cost"), F.count("*").alias("seen")).toPandas().sort_values("pattern", ignore_index=True)
+    guess = np.exp(-costs["cost"].to_numpy(float))
+    guess = guess / guess.sum() if len(guess) else guess
+    for _ in range(rounds):
+        table = spark.createDataFrame(costs[["pattern", "cost"]], "pattern int, cost double") if len(costs) else None
+        if table is None:
+            break
+        best = fit.join(F.broadcast(table), "pattern").groupBy("form").agg(F.max_by(F.struct("pattern", "n"), F.struct((F.log(F.col("to_rank.n").cast("double")) - F.col("cost")).alias("p"), F.col("to_rank"))).alias("x"))
+        held = {r["pattern"]: r["c"] for r in best.groupBy("x.pattern").agg(F.sum(F.col("x.n")).alias("c")).collect()}
+        seen = np.array([held.get(p, 0) for p in costs["pattern"]], float)
+        rate = (seen + 50 * guess) / (seen.sum() + 50)
+        costs["cost"] = -np.log(rate)
+    return costs
 
 
 def organisations(df: DataFrame, key: str, name: str, address: str) -> DataFrame:
@@ -318,14 +362,28 @@ def organisations(df: DataFrame, key: str, name: str, address: str) -> DataFrame
     by_trade = F.flatten(F.transform("trade", lambda t: F.transform(pieces, lambda p: F.concat(t, F.lit("|"), p))))
     loose = F.transform(F.concat(F.transform(long, lambda w: F.concat(F.lit("w"), w)), F.transform(joined, lambda w: F.concat(F.lit("j"), w))), lambda p: F.concat(F.lit("?|"), p))
     by_letters = F.transform("trade", lambda t: F.concat(t, F.lit("|"), letters))
-    side = forms.select("form", "proper", "trade", "given", "rank", by_trade.alias("own"), loose.alias("loose"), by_letters.alias("letters"))
+    side = forms.select("form", "n", "proper", "sounds", "trade", "given", "rank", by_trade.alias("own"), loose.alias("loose"), by_letters.alias("letters"))
     asks = F.when(F.size("trade") == 0, F.col("loose")).when(initial, F.concat("own", "letters")).otherwise(F.col("own"))
-    left = side.select("form", "proper", F.size("trade").alias("nt"), "given", "rank", F.explode(F.array_distinct(asks)).alias("key"))
-    right = side.select(F.col("form").alias("to"), F.col("proper").alias("to_proper"), F.col("given").alias("to_given"), F.col("rank").alias("to_rank"), F.explode(F.array_distinct(F.concat("own", "loose", "letters"))).alias("key"))
+    left = side.select("form", "n", "proper", "sounds", F.size("trade").alias("nt"), "given", "rank", F.explode(F.array_distinct(asks)).alias("key"))
+    right = side.select(F.col("form").alias("to"), F.col("proper").alias("to_proper"), F.col("sounds").alias("to_sounds"), F.col("given").alias("to_given"), F.col("rank").alias("to_rank"), F.explode(F.array_distinct(F.concat("own", "loose", "letters"))).alias("key"))
     both = left.join(right, "key").filter(F.col("rank") < F.col("to_rank")).drop("key").dropDuplicates(["form", "to"])
-    person = F.when((F.length("given") < 2) | (F.length("to_given") < 2), F.when(F.substring("given", 1, 1) == F.substring("to_given", 1, 1), 0.0).otherwise(GIVEN)).when(F.col("given") != F.col("to_given"), 2 * GIVEN).otherwise(0.0)
-    cost = channel_cost("proper", "to_proper") + F.when(F.col("nt") == 0, NO_TRADE).otherwise(0.0) + person
-    fit = both.withColumn("cost", cost).filter(F.col("cost") <= MOST)
+    # Names that are far apart in letters, whichever order, can't be variants; initials and joined words are looked at in any case.
+    run = lambda c, order: F.array_join(order(F.col(c)), "")
+    alike = F.lit(False)
+    for x, y in ((F.array_sort, F.array_sort), (lambda c: c, lambda c: c), (F.reverse, lambda c: c)):
+        alike = alike | F.levenshtein(run("sounds", x), run("to_sounds", y), 5).between(0, 5)
+    short = F.exists(F.concat("sounds", "to_sounds"), lambda w: F.length(w) == 1)
+    both = both.filter(short | alike).withColumn("ch", channel_changes("proper", "to_proper")).filter("ch.edit >= 0")
+    person = F.when((F.length("given") < 2) | (F.length("to_given") < 2), F.when(F.substring("given", 1, 1) == F.substring("to_given", 1, 1), 0).otherwise(1)).when(F.col("given") != F.col("to_given"), 2).otherwise(0)
+    both = both.select("form", "n", "to", "to_rank", "ch.*", F.when(F.col("nt") == 0, 1).otherwise(0).alias("no_trade"), person.alias("given"))
+    guess = sum((F.col(k) * w for k, w in CHANGES.items()), F.lit(0.0))
+    digits = sum((F.least(F.col(k), F.lit(7)) * 8**i for i, k in enumerate(CHANGES)), F.lit(0))
+    fit = durable(both.select("form", "n", "to", "to_rank", digits.cast("int").alias("pattern"), guess.alias("guess")).filter(F.col("guess") <= MOST))
+    costs = learned_costs(fit)
+    if len(costs):
+        fit = fit.join(F.broadcast(fit.sparkSession.createDataFrame(costs[["pattern", "cost"]], "pattern int, cost double")), "pattern")
+    else:
+        fit = fit.withColumn("cost", F.col("guess"))
     parent = fit.groupBy("form").agg(F.max_by("to", F.struct((F.log(F.col("to_rank.n").cast("double")) - F.col("cost")).alias("p"), F.col("to_rank"))).alias("to"))
     linked = components(parent, "form", "to")
     roots = forms.select("form").join(linked.withColumnRenamed("node", "form"), "form", "left").select("form", F.coalesce("root", "form").alias("organisation"))

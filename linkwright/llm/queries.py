@@ -86,6 +86,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.pairs_within(addresses.places(records, "entity_id", "business_address"), "entity_id", "place")
 
 
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with an address that can be read, its place, and how many records lie there as well."""
+    records = table(spark, folder, "train_source3", "entity_id", "business_address")
+    return addresses.group_sizes(addresses.places(records, "entity_id", "business_address"), "entity_id", "place")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record that names an organisation, that organisation, and how many records name it as well."""
+    records = table(spark, folder, "train_source2", "entity_id", "business_name", "business_address")
+    return addresses.group_sizes(names.organisations(records, "entity_id", "business_name", "business_address"), "entity_id", "organisation")
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document (piece) with its container."""
     docs = table(spark, folder, "documents", "doc_id", "text").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
@@ -112,7 +124,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), "source", table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_scored": p6_scored, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_scored": p6_scored, "p7_found": p7_found, "p7_groups": p7_groups, "p5_groups": p5_groups, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 _RANKED = """
 SELECT source1_entity_id, candidate_entity_id, match_proba, rank FROM (

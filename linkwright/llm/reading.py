@@ -83,7 +83,7 @@ _LANDMARK = rf" (?:{'|'.join(sorted(LANDMARK_LEADS, key=len, reverse=True))})(?:
 _LONG_HOUSE = rf" (?<! pin )(?<! zip )(\d{{5,6}})(?=(?: [a-d])?(?: ,)?(?: (?:{_TO}))? [a-z][a-z0-9]* (?:{_FORMS}) )|^((?: ,)?(?: (?:{_HOUSE})){{0,3}}) (\d{{5,6}})(?= [a-z](?:.* )?(?:\d{{5,6}}|\d{{3}} \d{{3}}) )"
 _PLACE = rf"^(.*?) (\d{{1,4}}|x\d{{5,6}})(?:([a-z])| ([a-d]))?(?= )(?: ,){{0,9}}(?: ({_TO})(?= [a-z0-9]))? ([a-z0-9]+)(?= )(.*)$"
 # What is no name of a town or state: signs, single letters, words with a digit first, words that lead to numbers.
-_FILLER = rf" (?:,|[a-z]|\d[a-z0-9]*|{'|'.join(sorted(HOUSE_WORDS | UNIT_WORDS | {'pin', 'zip', *DIRECTIONS}, key=len, reverse=True))})(?= )"
+_FILLER = rf" (?:,|[a-z]|x\d+|\d[a-z0-9]*|{'|'.join(sorted(HOUSE_WORDS | UNIT_WORDS | {'pin', 'zip', *DIRECTIONS}, key=len, reverse=True))})(?= )"
 PARTS = ["number", "letter", "direction", "street", "street_sound", "kind", "rest", "code"]
 
 
@@ -127,5 +127,5 @@ def with_address(df: DataFrame, address: str) -> DataFrame:
     digits = F.regexp_replace(part(0), "^x?0*(?=.)", "")
     read = read.withColumns({"__words": F.when(F.col("__found"), words), "direction": F.when(F.col("__found"), F.coalesce(F.try_element_at(to, part(2)), turned, F.lit(""))), "number": F.when(F.col("__found"), digits), "letter": F.when(F.col("__found"), part(1)), "street_sound": sounding(F.col("street"))})
     rest = F.filter(F.split(F.regexp_replace("__words", _FILLER, ""), " "), lambda w: w != "")
-    code = F.regexp_extract("__words", r" (\d{5,6}) ", 1)
+    code = F.regexp_extract("__words", r" x?(\d{5,6}) ", 1)
     return read.withColumns({"rest": rest, "code": code}).drop("__p", "__found", "__tail", "__words")

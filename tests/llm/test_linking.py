@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from linkwright.llm import addresses, linkage, names
+from linkwright.llm.reading import with_address
 from linkwright.llm.wording import distance, is_short_for, same_stem, sound
 
 
@@ -41,12 +42,18 @@ def slow(a, b):
         ("Main Street", None), ("", None), (None, None), ("12", None), ("12345", None),
     ],
 )
-def test_read_address(text, want):
-    assert addresses.read_address(text) == want
+def test_read_address(spark, text, want):
+    assert read_address(spark, text) == want
 
 
-def test_very_long_address():
-    assert addresses.read_address("word " * 100_000 + "12 main street")[:4] == ("12", "", "", "main")
+def read_address(spark, text):
+    r = with_address(spark.createDataFrame([(text,)], "a string"), "a").collect()[0]
+    return (r["number"], r["letter"], r["direction"], r["street"], r["kind"], tuple(r["rest"]), r["code"]) if r["number"] is not None else None
+
+
+def test_very_long_address(spark):
+    assert read_address(spark, "word " * 100_000 + "12 main street")[:4] == ("12", "", "", "main")
+    assert read_address(spark, "plot, no " * 20_000) is None
 
 
 def pairs_of(spark, rows):

@@ -1,6 +1,8 @@
 import pytest
 
-from linkwright.llm import addresses, names
+from test_linking import read_address
+
+from linkwright.llm import names
 
 
 @pytest.mark.parametrize(
@@ -15,8 +17,8 @@ from linkwright.llm import addresses, names
         ("XA 12137", None),
     ],
 )
-def test_house_numbers_of_five_digits(text, want):
-    assert addresses.read_address(text) == want
+def test_house_numbers_of_five_digits(spark, text, want):
+    assert read_address(spark, text) == want
 
 
 def test_house_number_column(spark):
