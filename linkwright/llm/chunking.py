@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.tokens import COMPILED
+from linkwright.llm.tokens import COMPILED, token_count
 
 #: Ends of sentences and of clauses, as last character of a token.
 SENTENCE, CLAUSE = ".!?…。！？", ",;:，；、"
@@ -93,7 +93,7 @@ def pieces(df: DataFrame, key: str, text: str, *, piece: int, overlap: int, with
     A piece has at most `piece` tokens and ends where the text pauses (line, sentence, else clause)
     if such a place lies within reach. Two neighbours share exactly `overlap` tokens, which must be
     fewer than `piece`. A text within the limit is one piece; null, empty and blank texts have none.
-    Texts are read whole. Nothing is shuffled: the tables of positions live with their text.
+    Texts are read whole; only those beyond the limit go to Python. Nothing is shuffled: the tables of positions live with their text.
     Only `key` and `text` are read; the key is passed through, repeated rows give their pieces again.
 
     with_text: False leaves piece_text null, for callers that need the cuts only.
@@ -101,7 +101,8 @@ def pieces(df: DataFrame, key: str, text: str, *, piece: int, overlap: int, with
     if not 0 <= overlap < piece:
         raise ValueError("overlap must be from 0 to piece - 1")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(df[key].alias("k"), df[text].alias("t")).filter(F.col("t").isNotNull())
+    sized = df.select(df[key].alias("k"), df[text].alias("t"), token_count(df[text]).alias("n"))
+    rows = sized.filter(F.col("n") > piece).select("k", "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -118,4 +119,7 @@ def pieces(df: DataFrame, key: str, text: str, *, piece: int, overlap: int, with
                 at = stop
 
     out = rows.mapInPandas(run, f"k {kind}, piece_no int, first_token int, end_token int, piece_text string")
-    return out.withColumnRenamed("k", key)
+    # A text within the limit is its own piece; it never leaves the JVM.
+    own = F.regexp_extract("t", r"(?Us)^\s*+(.*\S)", 1) if with_text else F.lit(None).cast("string")
+    short = sized.filter(F.col("n").between(1, piece)).select("k", F.lit(1).alias("piece_no"), F.lit(0).alias("first_token"), F.col("n").alias("end_token"), own.alias("piece_text"))
+    return short.unionByName(out).withColumnRenamed("k", key)

@@ -170,7 +170,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, *, items_per_group:
     Items are hashed into groups of about `items_per_group`, each solved by `complete` in one task;
     only keys and sizes travel. Containers that stay emptier than `waste` allows (about one per
     group) are opened again and their items packed together in the next round, until one group is
-    left. Full pieces of oversized records are containers of their own from the start.
+    left or a round hardly helps; no group ever exceeds its bound. Full pieces of oversized records are containers of their own from the start.
     """
     kind = df.schema[key].dataType.simpleString()
     items = durable(as_items(df, key, size, capacity))
@@ -191,14 +191,15 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, *, items_per_group:
         groups = max(1, math.ceil(n / items_per_group))
         keyed = open_.withColumn("g", F.pmod(F.xxhash64(F.lit(number), F.col(key), F.col("piece_no")), F.lit(groups)).cast("int"))
         solved = durable(keyed.groupBy("g").applyInPandas(solve, f"{key} {kind}, piece_no int, first_token int, n_tokens int, g int, b long, room long"))
-        final = solved if groups == 1 else solved.filter(F.col("room") <= waste * capacity)
+        open_ = solved.filter(F.col("room") > waste * capacity).select(key, "piece_no", "first_token", "n_tokens")
+        left = open_.count()
+        # Where more than half of the items lie in such containers, their sizes allow no better: all containers of the round are kept.
+        last = groups == 1 or left > n // 2
+        final = solved if last else solved.filter(F.col("room") <= waste * capacity)
         ids = final.select(F.concat_ws("-", F.lit(number), "g", "b").alias("container_id"), key, "piece_no", "first_token", "n_tokens")
         done = ids if done is None else done.unionAll(ids)
-        if groups == 1:
+        if last:
             break
-        open_ = solved.filter(F.col("room") > waste * capacity).select(key, "piece_no", "first_token", "n_tokens")
-        before, n, number = n, open_.count(), number + 1
-        if n > before // 2:  # too little fitted well: nothing is gained by further rounds of several groups
-            items_per_group = max(items_per_group, min(n, 2 * items_per_group))
+        n, number = left, number + 1
     alone = full.select(F.concat_ws("-", F.lit("full"), F.col(key), "piece_no").alias("container_id"), key, "piece_no", "first_token", "n_tokens")
     return alone if done is None else done.unionAll(alone)

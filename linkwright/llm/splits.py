@@ -14,14 +14,34 @@ from linkwright.llm.ranks import prefix_sums
 from linkwright.operators.storage import durable
 
 EDGES_PER_TASK = 1_000_000
+#: Groups of one size that are numbered in one task, about.
+GROUPS_PER_BUCKET = 100_000
+
+
+#: Edges that a task holds as Python objects before it reduces them to a forest.
+EDGES_AT_ONCE = 200_000
 
 
 def local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over one partition's edges (a, b): (node, root) of each node that is not its own root."""
-    pdfs = [b for b in batches if len(b)]
-    if not pdfs:
-        return
-    e = pd.concat(pdfs, ignore_index=True)
+    """Union-find over one partition's edges (a, b): (node, root) of each node that is not its own root.
+
+    Edges are taken in some at once; what is held beyond them is the forest so far, one row per node.
+    """
+    forest, held, n = pd.DataFrame({"node": [], "root": []}), [], 0
+    for b in batches:
+        held.append(b[["a", "b"]])
+        n += len(b)
+        if n >= EDGES_AT_ONCE:
+            forest, held, n = _grown(forest, held), [], 0
+    if held:
+        forest = _grown(forest, held)
+    if len(forest):
+        yield forest
+
+
+def _grown(forest: pd.DataFrame, edges: list[pd.DataFrame]) -> pd.DataFrame:
+    """The forest of `forest` and the edges together; roots are the smallest nodes."""
+    e = pd.concat([*edges, forest.rename(columns={"node": "a", "root": "b"})], ignore_index=True)
     codes, names = pd.factorize(np.concatenate([e["a"].to_numpy(object), e["b"].to_numpy(object)]), sort=True)
     u, v = codes[: len(e)], codes[len(e) :]
     root = np.arange(len(names))
@@ -35,7 +55,7 @@ def local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if np.array_equal(before, root):
             break
     child = np.flatnonzero(root != np.arange(len(names)))
-    yield pd.DataFrame({"node": names[child], "root": names[root[child]]})
+    return pd.DataFrame({"node": names[child], "root": names[root[child]]})
 
 
 def components(edges: DataFrame, a: str, b: str, *, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
@@ -134,6 +154,7 @@ def assign_splits(groups: DataFrame, record: str, splits: DataFrame) -> DataFram
                 ranges.append((size, at, at + k, name))
             at += k
     table = spark.createDataFrame(ranges, "size long, low long, high long, split_name string")
-    numbered = prefix_sums(sized, ["size"], [F.xxhash64("first"), F.col("first")], {"number": F.lit(1)}, bucket=F.pmod(F.xxhash64("first"), F.lit(64)).cast("int"))
+    buckets = max(64, sum(c for _, c in hist) // GROUPS_PER_BUCKET)
+    numbered = prefix_sums(sized, ["size"], [F.xxhash64("first"), F.col("first")], {"number": F.lit(1)}, bucket=F.pmod(F.xxhash64("first"), F.lit(buckets)).cast("int"))
     placed = numbered.join(F.broadcast(table), "size").filter("number >= low and number < high").select("first", "split_name")
     return groups.join(placed, "first").select(record, "first", "split_name")

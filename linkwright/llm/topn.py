@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkwright.operators.storage import durable
+
 
 def top_n(df: DataFrame, group: str, item: str, score: str, n: int, *, subgroups: int | None = None) -> DataFrame:
     """(group, item, score, rank): the `n` best items of each group, rank 1 first.
@@ -25,9 +27,10 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, *, subgroups
     parts = subgroups or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(df[group].alias("g"), df[item].alias("i"), df[score].cast("double").alias("s"))
     rows = rows.filter(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
-    share = max(1, math.ceil(df.count() / parts))
-    heavy = df.select(df[group].alias("g")).groupBy("g").count().filter(F.col("count") > share)
-    heavy = heavy.select("g", F.ceil(F.col("count") / share).cast("int").alias("pieces"))
+    # One count per group gives both the number of rows and the heavy groups.
+    sizes = durable(df.select(df[group].alias("g")).groupBy("g").count())
+    share = max(1, math.ceil((sizes.agg(F.sum("count").alias("n")).collect()[0]["n"] or 0) / parts))
+    heavy = sizes.filter(F.col("count") > share).select("g", F.ceil(F.col("count") / share).cast("int").alias("pieces"))
     salted = rows.join(F.broadcast(heavy), "g", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("i"), F.col("pieces")), F.lit(0)).cast("int"))
     placed = salted.select("g", "salt", "i", "s").repartition("g", "salt")
     once = placed.groupBy("g", "salt", "i").agg(F.max("s").alias("s"))

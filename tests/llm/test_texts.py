@@ -148,3 +148,32 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), "k", "size", "source", ["n_copies"], t).count() == 0
     again = {r["k"]: r["n_copies"] for r in mixing.mix(df.repartition(7), "k", "size", "source", ["n_copies"], t).collect()}
     assert again == {r["k"]: r["n_copies"] for r in m}
+
+
+def test_mix_of_more_cells_than_the_driver_rakes(spark, monkeypatch):
+    rng = random.Random(9)
+    data = [(i, rng.choice(["big"] * 5 + ["mid", "small"]), rng.choice(["en", "de", None]), rng.randrange(1, 400)) for i in range(3000)]
+    df = spark.createDataFrame(data, "k long, source string, lang string, size long")
+    t = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.3, 2), ("small", 0.1, 4)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "MOST_CELLS", 2)
+    m = mixing.mix(df, "k", "size", "source", ["lang"], t).collect()
+    total = sum(r["n_copies"] * r["n_tokens"] for r in m)
+    most = {"big": 1, "mid": 2, "small": 4}
+    assert len({r["k"] for r in m}) == len(m) and all(1 <= r["n_copies"] <= most[r["source"]] for r in m)
+    for s, want in (("big", 0.6), ("mid", 0.3), ("small", 0.1)):
+        assert sum(r["n_copies"] * r["n_tokens"] for r in m if r["source"] == s) / total == pytest.approx(want, abs=0.01)
+
+
+def test_texts_within_the_limit_are_their_own_piece(spark):
+    texts = ["  Ab, cd.\n ", "x" + " " * 50_000 + "y  ", " ", "", None, "one two three four five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {(r["k"], r["piece_no"]): (r["first_token"], r["end_token"], r["piece_text"]) for r in chunking.pieces(df, "k", "t", piece=4, overlap=1).collect()}
+    assert got[0, 1] == (0, 4, "Ab, cd.") and got[1, 1] == (0, 2, "x" + " " * 50_000 + "y")
+    assert {k for k, _ in got} == {0, 1, 5} and got[5, 2][1] == 5
+
+
+def test_items_that_fit_badly_stay_in_bounded_groups(spark):
+    df = spark.createDataFrame([(i, 1200) for i in range(300)], "k long, n int")  # two never fit one container
+    got = packing.pack(df, "k", "n", 2048, items_per_group=50).collect()
+    assert len(got) == 300 and len({r["container_id"] for r in got}) == 300
+    assert {r["container_id"].split("-")[0] for r in got} == {"0"}  # one round

@@ -96,3 +96,16 @@ def test_splits_keep_groups_and_shares(spark):
         n[r["split_name"]] = n.get(r["split_name"], 0) + 1
     assert abs(n["train"] - 2400) <= 5 and abs(n["test"] - 300) <= 5 and "none" not in n
     assert splits.assign_splits(g.limit(0), "rec", t).count() == 0
+
+
+def test_local_forest_in_small_steps(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(splits, "EDGES_AT_ONCE", 3)
+    rng = random.Random(11)
+    edges = [(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(30)]
+    edges = [e for e in edges if e[0] != e[1]]
+    batches = [pd.DataFrame(edges[i : i + 2], columns=["a", "b"]) for i in range(0, len(edges), 2)]
+    whole = pd.concat(list(splits.local_forest(iter([pd.DataFrame(edges, columns=["a", "b"])]))))
+    steps = pd.concat(list(splits.local_forest(iter(batches))))
+    assert dict(zip(steps["node"], steps["root"])) == dict(zip(whole["node"], whole["root"]))
