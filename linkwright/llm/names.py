@@ -362,17 +362,18 @@ def organisations(df: DataFrame, key: str, name: str, address: str) -> DataFrame
     by_trade = F.flatten(F.transform("trade", lambda t: F.transform(pieces, lambda p: F.concat(t, F.lit("|"), p))))
     loose = F.transform(F.concat(F.transform(long, lambda w: F.concat(F.lit("w"), w)), F.transform(joined, lambda w: F.concat(F.lit("j"), w))), lambda p: F.concat(F.lit("?|"), p))
     by_letters = F.transform("trade", lambda t: F.concat(t, F.lit("|"), letters))
-    side = forms.select("form", "n", "proper", "sounds", "trade", "given", "rank", by_trade.alias("own"), loose.alias("loose"), by_letters.alias("letters"))
+    spelled = lambda order: F.array_join(order(F.col("sounds")), "")
+    runs = F.struct(spelled(F.array_sort).alias("sorted"), spelled(lambda c: c).alias("run"), spelled(F.reverse).alias("back"), F.exists("sounds", lambda w: F.length(w) == 1).alias("initial")).alias("runs")
+    side = forms.select("form", "n", "proper", runs, "trade", "given", "rank", by_trade.alias("own"), loose.alias("loose"), by_letters.alias("letters"))
     asks = F.when(F.size("trade") == 0, F.col("loose")).when(initial, F.concat("own", "letters")).otherwise(F.col("own"))
-    left = side.select("form", "n", "proper", "sounds", F.size("trade").alias("nt"), "given", "rank", F.explode(F.array_distinct(asks)).alias("key"))
-    right = side.select(F.col("form").alias("to"), F.col("proper").alias("to_proper"), F.col("sounds").alias("to_sounds"), F.col("given").alias("to_given"), F.col("rank").alias("to_rank"), F.explode(F.array_distinct(F.concat("own", "loose", "letters"))).alias("key"))
+    left = side.select("form", "n", "proper", "runs", F.size("trade").alias("nt"), "given", "rank", F.explode(F.array_distinct(asks)).alias("key"))
+    right = side.select(F.col("form").alias("to"), F.col("proper").alias("to_proper"), F.col("runs").alias("to_runs"), F.col("given").alias("to_given"), F.col("rank").alias("to_rank"), F.explode(F.array_distinct(F.concat("own", "loose", "letters"))).alias("key"))
     # Names that are far apart in letters, whichever order, can't be variants; initials and joined words are looked at in any case.
-    run = lambda c, order: F.array_join(order(F.col(c)), "")
     alike = F.lit(False)
-    for x, y in ((F.array_sort, F.array_sort), (lambda c: c, lambda c: c), (F.reverse, lambda c: c)):
-        alike = alike | F.levenshtein(run("sounds", x), run("to_sounds", y), 5).between(0, 5)
-    short = F.exists(F.concat("sounds", "to_sounds"), lambda w: F.length(w) == 1)
-    both = left.join(right, "key").filter((F.col("rank") < F.col("to_rank")) & (short | alike)).drop("key").dropDuplicates(["form", "to"])
+    for x, y in (("sorted", "sorted"), ("run", "run"), ("back", "run")):
+        alike = alike | F.levenshtein(f"runs.{x}", f"to_runs.{y}", 5).between(0, 5)
+    short = F.col("runs.initial") | F.col("to_runs.initial")
+    both = left.join(right, "key").filter((F.col("rank") < F.col("to_rank")) & (short | alike)).drop("key", "runs", "to_runs").dropDuplicates(["form", "to"])
     both = both.withColumn("ch", channel_changes("proper", "to_proper")).filter("ch.edit >= 0")
     person = F.when((F.length("given") < 2) | (F.length("to_given") < 2), F.when(F.substring("given", 1, 1) == F.substring("to_given", 1, 1), 0).otherwise(1)).when(F.col("given") != F.col("to_given"), 2).otherwise(0)
     both = both.select("form", "n", "to", "to_rank", "ch.*", F.when(F.col("nt") == 0, 1).otherwise(0).alias("no_trade"), person.alias("given"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkwright.llm import addresses, chunking, linkage, mixing, names, packing, splits, topn
 from linkwright.llm.tokens import token_count
 from linkwright.operators.packed import unpack
+from linkwright.operators.storage import durable
 from linkwright.plans.general import VALUE_START
 from linkwright.sources.tables import table
 
@@ -124,7 +125,47 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), "source", table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_scored": p6_scored, "p7_found": p7_found, "p7_groups": p7_groups, "p5_groups": p5_groups, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p3_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for p3_splits, in one row: all labelled ids, whole groups, shares within the largest group of their targets."""
+    r = durable(p3_splits(spark, folder))
+    groups = r.groupBy("first_entity_id").agg(F.count("*").alias("size"), F.count_distinct("split_name").alias("k"))
+    g = groups.agg(F.count("*").alias("n_groups"), F.count_if(F.col("k") != 1).alias("n_broken_groups"), F.max("size").alias("largest"), F.sum("size").alias("n_ids")).withColumn("one", F.lit(1))
+    held = table(spark, folder, "split_targets").join(r.groupBy("split_name").agg(F.count("*").alias("n")), "split_name", "left").join(g.withColumn("one", F.lit(1)).select("one", "largest", "n_ids"), F.col("one") == 1)
+    off = held.agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * F.col("n_ids")) > F.col("largest")).alias("n_shares_off")).withColumn("one", F.lit(1))
+    return g.join(off, "one").select("n_ids", "n_groups", "n_broken_groups", "n_shares_off")
+
+
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for p8_containers, in one row: every token once, no container beyond its capacity, only oversized documents divided."""
+    cap = _limits(spark, folder)["container"]
+    items = durable(p8_containers(spark, folder))
+    docs = items.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n")).agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_tokens"), F.count_if(F.col("k") > 1).alias("n_divided"), F.lit(1).alias("one"))
+    over = items.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > cap).alias("n_overfull"), F.lit(1).alias("one"))
+    return docs.join(over, "one").drop("one")
+
+
+def p9_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for p9_mixture, per source with a target: used too often, and more than a hundredth off its share among the sources that exist."""
+    targets, mixture = table(spark, folder, "mix_targets"), durable(p9_mixture(spark, folder))
+    often = mixture.join(targets, "source").groupBy("source").agg(F.count_if(F.col("n_copies") > F.col("max_repeats")).alias("n_overused"))
+    s = mixing.shares(mixture, "source", targets).join(often, "source", "left")
+    open_ = s.filter("n_tokens > 0").agg(F.sum("target_share").alias("t"), F.lit(1).alias("one"))
+    both = s.withColumn("one", F.lit(1)).join(open_, "one")
+    off = (F.col("n_tokens") > 0) & (F.abs(F.col("actual_share") - F.col("target_share") / F.col("t")) > 0.01)
+    return both.select("source", (F.col("n_tokens") > 0).alias("used"), F.coalesce("n_overused", F.lit(0)).cast("long").alias("n_overused"), off.alias("off_target"))
+
+
+def p10_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for p10_pieces, per document: its tokens, pieces beyond the limit, neighbours that don't overlap as they should."""
+    lim = _limits(spark, folder)
+    cut = chunking.pieces(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", piece=lim["piece"], overlap=lim["overlap"], with_text=False)
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "first_token", "end_token"))), lambda x: x)  # as many as the document has pieces
+    per = cut.groupBy("doc_id").agg(spans.alias("s"))
+    gaps = F.size(F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i > 1) & (F.get("s", i - 2)["end_token"] - F.get("s", i - 1)["first_token"] != lim["overlap"])))
+    return per.select("doc_id", F.get("s", F.size("s") - 1)["end_token"].cast("long").alias("n_tokens"), F.size(F.filter("s", lambda x: x["end_token"] - x["first_token"] > lim["piece"])).cast("long").alias("n_too_long"), gaps.cast("long").alias("n_gaps"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_splits": p3_splits, "p10_found": p10_found, "p10_pieces": p10_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_scored": p6_scored, "p7_found": p7_found, "p7_groups": p7_groups, "p5_groups": p5_groups, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_checked": p3_checked, "p8_checked": p8_checked, "p9_checked": p9_checked, "p10_checked": p10_checked}
 
 _RANKED = """
 SELECT source1_entity_id, candidate_entity_id, match_proba, rank FROM (
@@ -135,15 +176,27 @@ SELECT source1_entity_id, candidate_entity_id, match_proba, rank FROM (
 WHERE rank <= 5
 """
 
-SQL = {
-    "p1_found": f"SELECT source1_entity_id, candidate_entity_id FROM ({_RANKED})",
-    "p1_ranked": _RANKED,
-    "p3_found": r"""
+# white space of any script: \s alone is that of ASCII here
+_TOKENS = r"regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s\p{Z}\x{0b}\x{85}]+')"
+_RELATED = r"""
 WITH RECURSIVE m AS (
   SELECT DISTINCT source1_entity_id AS s, unnest(regexp_extract_all(matched_entity_ids, 'S[23]-[0-9]+(?:[,;|/ ][a-z0-9]["''])?')) AS v FROM train_matches),
 e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM (SELECT s, regexp_replace(v, '["'']$', '') AS v FROM m) a JOIN (SELECT s, regexp_replace(v, '["'']$', '') AS v FROM m) b ON a.v = b.v AND a.s <> b.s),
 r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+"""
+
+SQL = {
+    "p3_checked": _RELATED + """, n AS (SELECT count(DISTINCT source1_entity_id) AS ids FROM train_matches)
+SELECT ids AS n_ids, ids - (SELECT count(*) FROM (SELECT x FROM r GROUP BY x HAVING min(y) < x)) AS n_groups, 0 AS n_broken_groups, 0 AS n_shares_off FROM n
+""",
+    "p8_checked": f"SELECT count(*) AS n_documents, sum(coalesce(len({_TOKENS}), 0))::BIGINT AS n_tokens, count(*) FILTER (WHERE len({_TOKENS}) > 2048) AS n_divided, 0 AS n_overfull FROM documents",
+    "p9_checked": f"SELECT t.source, coalesce(bool_or(len({_TOKENS}) > 0), false) AS used, 0 AS n_overused, false AS off_target FROM mix_targets t LEFT JOIN documents d ON t.source = d.source GROUP BY 1",
+    "p10_checked": f"SELECT doc_id, len({_TOKENS})::BIGINT AS n_tokens, 0 AS n_too_long, 0 AS n_gaps FROM documents WHERE len({_TOKENS}) > 0",
+    "p1_found": f"SELECT source1_entity_id, candidate_entity_id FROM ({_RANKED})",
+    "p1_ranked": _RANKED,
+    "p3_found": _RELATED
+    + """
 SELECT min(y) AS first_entity_id, x AS source1_entity_id FROM r GROUP BY x HAVING min(y) < x
 """,
-    "p10_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s]+')) > 1024",
+    "p10_found": f"SELECT doc_id FROM documents WHERE len({_TOKENS}) > 1024",
 }
