@@ -366,8 +366,9 @@ def organisations(df: DataFrame, key: str, name: str, address: str) -> DataFrame
     runs = F.struct(spelled(F.array_sort).alias("sorted"), spelled(lambda c: c).alias("run"), spelled(F.reverse).alias("back"), F.exists("sounds", lambda w: F.length(w) == 1).alias("initial")).alias("runs")
     side = forms.select("form", "n", "proper", runs, "trade", "given", "rank", by_trade.alias("own"), loose.alias("loose"), by_letters.alias("letters"))
     asks = F.when(F.size("trade") == 0, F.col("loose")).when(initial, F.concat("own", "letters")).otherwise(F.col("own"))
-    left = side.select("form", "n", "proper", "runs", F.size("trade").alias("nt"), "given", "rank", F.explode(F.array_distinct(asks)).alias("key"))
-    right = side.select(F.col("form").alias("to"), F.col("proper").alias("to_proper"), F.col("runs").alias("to_runs"), F.col("given").alias("to_given"), F.col("rank").alias("to_rank"), F.explode(F.array_distinct(F.concat("own", "loose", "letters"))).alias("key"))
+    hashed = lambda keys: F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
+    left = side.select("form", "n", "proper", "runs", F.size("trade").alias("nt"), "given", "rank", F.explode(hashed(asks)).alias("key"))
+    right = side.select(F.col("form").alias("to"), F.col("proper").alias("to_proper"), F.col("runs").alias("to_runs"), F.col("given").alias("to_given"), F.col("rank").alias("to_rank"), F.explode(hashed(F.concat("own", "loose", "letters"))).alias("key"))
     # Names that are far apart in letters, whichever order, can't be variants; initials and joined words are looked at in any case.
     alike = F.lit(False)
     for x, y in (("sorted", "sorted"), ("run", "run"), ("back", "run")):
