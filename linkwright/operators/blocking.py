@@ -93,7 +93,7 @@ def merged(pairs: DataFrame) -> DataFrame:
     """(source1_entity_id, candidate_entity_id, block_strategies): one row per pair, at most two tags."""
     tag = {f: F.create_map(*[F.lit(x) for t, (g, p) in STRATEGIES.items() if g == f for x in (p, t)]) for f in ("name", "address")}
     least = lambda f: F.min(F.when(F.col("family") == f, F.col("priority"))).alias(f)
-    both = pairs.groupBy("source1_entity_id", "candidate_entity_id").agg(least("name"), least("address"))
+    both = pairs.repartition("candidate_entity_id").groupBy("source1_entity_id", "candidate_entity_id").agg(least("name"), least("address"))
     tags = F.array(F.try_element_at(tag["name"], F.col("name")), F.try_element_at(tag["address"], F.col("address")))
     return both.select("source1_entity_id", "candidate_entity_id", F.array_join(F.array_sort(F.filter(tags, lambda t: t.isNotNull())), ",").alias("block_strategies"))
 
@@ -112,10 +112,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def ranked(cands: DataFrame, s1: DataFrame, others: DataFrame) -> DataFrame:
-    """`cands` with `jaccard`, the overlap of the two records' words."""
+    """`cands` with `jaccard`, the overlap of the two records' words.
+
+    Candidate records are joined first: pairs merged by candidate lie right for that, and what follows
+    per source1 record (the join and the choice of the best) needs one exchange in all.
+    """
     a = token_sets(s1).select(F.col("entity_id").alias("source1_entity_id"), F.col("toks").alias("ta"))
     b = token_sets(others).select(F.col("entity_id").alias("candidate_entity_id"), F.col("toks").alias("tb"))
-    return cands.join(a, "source1_entity_id").join(b, "candidate_entity_id").select(*cands.columns, jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
+    return cands.join(b, "candidate_entity_id").join(a, "source1_entity_id").select(*cands.columns, jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
 
 
 def top_candidates(rated: DataFrame, k: int) -> DataFrame:
