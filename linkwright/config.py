@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field
 class Settings:
     """One immutable set of parameters; `fingerprint` names the cached tables built with it."""
 
+    # Results depend on them.
     seed: int = 42
     max_posting: int = 180
     max_candidates: int = 80

@@ -120,7 +120,7 @@ def _na_policy(st: Stage, s: str) -> DataFrame:
 
 
 def _normalized_texts(column: str, f):
-    """Distinct values of the sources and the document texts (as names), with their normal form."""
+    """Distinct values of the three sources, with their normal form."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         st, out = Stage(spark, folder), None
@@ -262,6 +262,7 @@ QUERIES = {
     "er_all_tfidf_cosine": _on(lambda st: _tfidf_cosine(st, _all_pairs(st))),
     # TF-IDF, scores, evaluation
     "er_tfidf_vocab": _on(lambda st: tfidf.fit(_names_corpus(st), "name_norm").select("term", "df", "tf", F.round("idf", 6).alias("idf"))),
+    "er_tfidf_addr_vocab": _on(lambda st: tfidf.fit(_names_corpus(st), "address_norm").select("term", "df", "tf", F.round("idf", 6).alias("idf"))),
     "er_tfidf_cosine": _on(lambda st: _tfidf_cosine(st, _label_pairs(st))),
     "er_predictions": _validation_query(lambda val, ents, truth: evaluate.predictions(val, THRESHOLD)),
     "er_entity_f05": _validation_query(_metrics),

@@ -190,11 +190,15 @@ def _grams(x: str) -> str:
     return f"list_concat(list_concat({out[0]}, {out[1]}), {out[2]})"
 
 
-_VOCAB = f"""grams AS (SELECT source || entity_id AS d, unnest({_grams('name_norm')}) AS term FROM corpus),
+def _vocabulary(column: str) -> str:
+    return f"""grams AS (SELECT source || entity_id AS d, unnest({_grams(column)}) AS term FROM corpus),
 vocab AS (SELECT term, df, tf, ln((1.0 + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1.0 AS idf FROM (
   SELECT term, count(DISTINCT d) AS df, count(*) AS tf FROM grams GROUP BY 1 HAVING count(DISTINCT d) >= {DEFAULT.tfidf_min_df} ORDER BY tf DESC, term LIMIT {DEFAULT.tfidf_max_terms}))"""
 
 
+_VOCAB = _vocabulary("name_norm")
+
+
 def _value_sql(column: str, expr: str) -> str:
     return f"SELECT md5(coalesce(v, '~')) AS value_md5, {expr} AS norm FROM (SELECT DISTINCT {column} AS v FROM (SELECT {column} FROM train_source1 UNION ALL SELECT {column} FROM train_source2 UNION ALL SELECT {column} FROM train_source3))"
 
@@ -259,6 +263,7 @@ SQL = {
     "er_features_structure": _label_features(f"{_PAIR}, " + _r(["name_len_ratio", "addr_len_ratio", "name_tok_count_diff", "addr_tok_count_diff"])),
     "er_feature_nulls": _label_features("coalesce(sum(" + " + ".join(f"({c} IS NULL)::BIGINT" for c in ("name_exact", "addr_exact", "country_same", "name_token_jaccard", "name_token_overlap", "addr_token_jaccard", "num_shared_numeric", "name_len_ratio", "addr_len_ratio", "name_tok_count_diff", "addr_tok_count_diff")) + "), 0)::BIGINT AS n_null"),
     "er_tfidf_vocab": f"{NORM}, {_VOCAB} SELECT term, df, tf, round(idf, 6) AS idf FROM vocab",
+    "er_tfidf_addr_vocab": f"{NORM}, {_vocabulary('address_norm')} SELECT term, df, tf, round(idf, 6) AS idf FROM vocab",
     "er_tfidf_cosine": f"""{NORM}, {_VOCAB},
 tfw AS (SELECT entity_id, term, (1.0 + ln(count(*))) * any_value(idf) AS x FROM (SELECT entity_id, unnest({_grams('name_norm')}) AS term FROM corpus) JOIN vocab USING (term) GROUP BY 1, 2),
 w AS (SELECT entity_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY entity_id)) AS x FROM tfw)
