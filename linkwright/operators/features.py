@@ -9,6 +9,8 @@ from linkwright.functions import text
 from linkwright.functions.fuzzy import FUZZY, fuzzy_features
 from linkwright.operators.blocking import jaccard
 from linkwright.operators.pairs import KEYS
+from linkwright.operators.storage import merging
+from linkwright.operators.tfidf import cosine
 
 ATTRIBUTES = ["name1", "addr1", "country1", "name2", "addr2", "country2"]
 EXACT = ["name_exact", "addr_exact", "country_same"]
@@ -21,7 +23,7 @@ ALL = [*EXACT, *TOKEN, *STRUCTURE, *FUZZY, *TFIDF]
 def with_attributes(pairs: DataFrame, s1: DataFrame, others: DataFrame) -> DataFrame:
     """`pairs` with both records' normalised texts; '' where a record is unknown."""
     side = lambda n, key, i: n.select(F.col("entity_id").alias(key), F.col("name_norm").alias(f"name{i}"), F.col("address_norm").alias(f"addr{i}"), F.col("country_norm").alias(f"country{i}"))
-    both = pairs.join(side(s1, KEYS[0], 1), KEYS[0], "left").join(side(others, KEYS[1], 2), KEYS[1], "left")
+    both = pairs.join(merging(side(s1, KEYS[0], 1)), KEYS[0], "left").join(merging(side(others, KEYS[1], 2)), KEYS[1], "left")
     return both.select(*pairs.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in ATTRIBUTES])
 
 
@@ -90,19 +92,7 @@ def feature_matrix(pairs: DataFrame, s1: DataFrame, others: DataFrame, name_term
 
     name_terms, addr_terms: fitted vocabularies (`tfidf.fit`), never fitted here.
     """
-    from linkwright.operators.tfidf import weights
-
     full = with_fuzzy(string_features(with_attributes(pairs, s1, others)))
-    for col, source, terms in (("name_tfidf_cosine", "name_norm", name_terms), ("addr_tfidf_cosine", "address_norm", addr_terms)):
-        w1 = weights(s1, source, terms).select(F.col("entity_id").alias(KEYS[0]), F.col("w").alias("w1"))
-        w2 = weights(others, source, terms).select(F.col("entity_id").alias(KEYS[1]), F.col("w").alias("w2"))
-        full = full.join(w1, KEYS[0], "left").join(w2, KEYS[1], "left")
-        full = full.withColumn(col, dot(F.col("w1"), F.col("w2"))).drop("w1", "w2")
+    full = full.withColumns({"name_tfidf_cosine": cosine("name1", "name2", name_terms), "addr_tfidf_cosine": cosine("addr1", "addr2", addr_terms)})
     kept = [c for c in ("label", "split") if c in pairs.columns]
     return full.select(*KEYS, *[F.col(c).cast("float").alias(c) for c in ALL], *kept)
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Sum of products over the common keys of two maps; 0 if either is missing."""
-    zero = F.lit(0.0)
-    return F.coalesce(F.aggregate(F.map_entries(a), zero, lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), zero)), zero)

@@ -44,6 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join by sorting and merging, which no driver has to hold.
+
+    Spark takes the rows an explode makes, and lists and maps, to be as small as the files they come from, and
+    would broadcast tables of any size.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def bloom_joins(spark: SparkSession) -> Iterator[None]:
     """Within, Spark may drop rows of a join's large side by a Bloom filter before they are shuffled, however small the scan is.

@@ -1,10 +1,16 @@
 """TF-IDF over character n-grams inside words: sublinear counts, smooth idf, unit length.
 
-Fitted and applied in SQL. Weights are computed once per record, not once per pair.
+Fitted in SQL. Cosines are computed where a pair's texts are (Arrow), so that pairs carry texts and no weights.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +39,10 @@ def fit(corpus: DataFrame, column: str, settings: Settings = DEFAULT) -> DataFra
     idf = ln((1 + texts) / (1 + df)) + 1; empty texts count as texts.
     """
     n = corpus.count()
-    # In one select the id would be drawn after the explode, one per term.
-    grams = corpus.select(column).withColumn("d", F.monotonically_increasing_id()).select("d", F.explode(ngrams(F.col(column), *settings.tfidf_ngrams)).alias("term"))
-    per = grams.groupBy("term", "d").agg(F.count("*").alias("c")).groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("tf"))
+    # Equal texts are counted once; terms of a text are counted where the text is, without an exchange.
+    texts = corpus.groupBy(column).agg(F.count("*").alias("m"))
+    grams = texts.select(column, "m", F.explode(ngrams(F.col(column), *settings.tfidf_ngrams)).alias("term"))
+    per = grams.groupBy(column, "m", "term").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("m").alias("df"), F.sum(F.col("c") * F.col("m")).alias("tf"))
     kept = per.filter(F.col("df") >= settings.tfidf_min_df).orderBy(F.desc("tf"), "term").limit(settings.tfidf_max_terms)
     return kept.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
@@ -49,12 +56,28 @@ def weights(norm: DataFrame, column: str, terms: DataFrame, settings: Settings =
     return listed.select("entity_id", F.map_from_entries(F.transform("l", lambda e: F.struct(e["term"], (e["x"] / F.col("len")).alias("x")))).alias("w"))
 
 
-def cosines(pairs: DataFrame, s1: DataFrame, others: DataFrame, column: str, terms: DataFrame, out: str) -> DataFrame:
-    """`pairs` with the cosine of both records' texts; 0 where one has no known term."""
-    from linkwright.operators.features import dot
-    from linkwright.operators.pairs import KEYS
+def cosine(a: str, b: str, terms: DataFrame, settings: Settings = DEFAULT) -> Column:
+    """Cosine of the texts in columns `a` and `b`; 0 where one has no known term.
 
-    w1 = weights(s1, column, terms).select(F.col("entity_id").alias(KEYS[0]), F.col("w").alias("__w1"))
-    w2 = weights(others, column, terms).select(F.col("entity_id").alias(KEYS[1]), F.col("w").alias("__w2"))
-    both = pairs.join(w1, KEYS[0], "left").join(w2, KEYS[1], "left")
-    return both.withColumn(out, dot(F.col("__w1"), F.col("__w2"))).drop("__w1", "__w2")
+    The vocabulary, `tfidf_max_terms` rows at most, is sent to the workers.
+    """
+    low, high = settings.tfidf_ngrams
+    sent = terms.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in terms.select("term", "idf").collect()})
+
+    @F.pandas_udf("double")
+    def dot(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        idf = sent.value
+
+        @lru_cache(maxsize=1 << 14)
+        def weights(text: str) -> dict[str, float]:
+            padded = [f" {w} " for w in text.split(" ") if w]
+            counts = Counter(w[i : i + n] for n in range(low, high + 1) for w in padded for i in range(len(w) - n + 1))
+            x = {g: (1.0 + math.log(c)) * idf[g] for g, c in counts.items() if g in idf}
+            length = math.sqrt(sum(v * v for v in x.values()))
+            return {g: v / length for g, v in x.items()}
+
+        for left, right in batches:
+            of = [(weights(x or ""), weights(y or "")) for x, y in zip(left, right)]
+            yield pd.Series([sum([v * y[g] for g, v in x.items() if g in y], 0.0) for x, y in of], dtype="float64")
+
+    return dot(F.col(a), F.col(b))

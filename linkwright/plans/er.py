@@ -191,7 +191,7 @@ def _names_corpus(st: Stage) -> DataFrame:
 
 def _tfidf_cosine(st: Stage, p: DataFrame) -> DataFrame:
     terms = tfidf.fit(_names_corpus(st), "name_norm")
-    return _rounded(tfidf.cosines(p, st.norm("source1"), st.others(), "name_norm", terms, "cosine"), ["cosine"])
+    return _rounded(_attributes(st, p).select(*pairs.KEYS, tfidf.cosine("name1", "name2", terms).alias("cosine")), ["cosine"])
 
 
 def _matrix(st: Stage) -> DataFrame:

@@ -23,3 +23,10 @@ def test_fuzzy_ratios_of_every_candidate(spark):
     keys = lambda name: [tuple(r) for r in q[name](spark, test_catalog.SMALL).select(*KEYS).collect()]
     got = keys("er_features_fuzzy")
     assert len(got) == len(set(got)) and set(got) == set(keys("er_candidates")) | set(keys("er_pair_attrs"))
+
+
+@pytest.mark.skipif(not os.path.isdir(test_catalog.SMALL), reason="no test tables")
+@pytest.mark.parametrize("name", ["er_all_tfidf_cosine", "er_tfidf_cosine"])
+def test_records_of_pairs_are_not_broadcast(spark, name):
+    df = entry.queries()[name](spark, test_catalog.SMALL)
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
