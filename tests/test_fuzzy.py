@@ -51,3 +51,14 @@ def test_udf(spark):
     df = spark.createDataFrame([("acme ltd", "ltd acme", "", "")], "a string, b string, c string, d string")
     r = df.select(fuzzy.fuzzy_features("a", "b", "c", "d").alias("f")).collect()[0]["f"]
     assert r["name_token_sort_sim"] == 1.0 and r["addr_lev_sim"] == 0.0
+
+
+longer = st.text(alphabet="abcdé 1", max_size=90)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.tuples(words, words), st.tuples(words, longer), st.tuples(longer, longer)), max_size=30))
+def test_many_pairs_as_one_by_one(some):
+    a, b = [x for x, _ in some], [y for _, y in some]
+    for all_, one in ((fuzzy.lcs_all, fuzzy.lcs), (fuzzy.ratio_all, fuzzy.ratio), (fuzzy.partial_all, fuzzy.partial_ratio), (fuzzy.weighted_all, fuzzy.weighted_ratio)):
+        assert [*all_(a, b)] == [one(x, y) for x, y in some]
