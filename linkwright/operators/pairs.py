@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.config import DEFAULT, Settings
 from linkwright.functions.text import hashed, id_list
-from linkwright.operators.storage import durable
+from linkwright.operators.storage import durable, merging
 
 #: Bits of `text.hashed`, and how many of them make the buckets in which a share of all ids is cut off.
 HASH_BITS, BUCKET_BITS = 32, 12
@@ -31,7 +31,7 @@ def label_entities(labels: DataFrame) -> DataFrame:
 
 def recovered(truth: DataFrame, cands: DataFrame) -> DataFrame:
     """Label pairs that are candidates."""
-    return truth.join(cands.select(*KEYS), KEYS, "left_semi")
+    return truth.join(merging(cands.select(*KEYS)), KEYS, "left_semi")
 
 
 def missed(truth: DataFrame, cands: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def split_entities(entities: DataFrame, settings: Settings = DEFAULT) -> DataFra
 
 def hard_negatives(cands: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:
     """Candidates of labelled records that are no label pairs."""
-    return cands.select(*KEYS).join(entities, "source1_entity_id", "left_semi").join(truth, KEYS, "left_anti")
+    return cands.select(*KEYS).join(merging(entities), "source1_entity_id", "left_semi").join(merging(truth), KEYS, "left_anti")
 
 
 def sampled_negatives(negatives: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -92,7 +92,7 @@ def labelled_pairs(cands: DataFrame, truth: DataFrame, entities: DataFrame, sett
     """(source1_entity_id, candidate_entity_id, label, split): recovered positives and sampled negatives."""
     pos = recovered(truth, cands).withColumn("label", F.lit(1).cast("byte"))
     neg = sampled_negatives(hard_negatives(cands, truth, entities), settings).withColumn("label", F.lit(0).cast("byte"))
-    return pos.unionByName(neg).join(split_entities(entities, settings), "source1_entity_id")
+    return pos.unionByName(neg).join(merging(split_entities(entities, settings)), "source1_entity_id")
 
 
 def pair_stats(pairs: DataFrame) -> DataFrame:
