@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkwright.config import DEFAULT, Settings
 from linkwright.functions import text
-from linkwright.operators.storage import durable
+from linkwright.operators.storage import durable, merging
 
 #: tag -> (family, priority within the family)
 STRATEGIES = {
@@ -77,9 +77,9 @@ def raw_pairs(s1_keys: DataFrame, candidate_keys: DataFrame, max_posting: int) -
     aggregation, so that a key of any size never reaches the join.
     """
     cool = candidate_keys.groupBy("tag", "key").agg(F.count("*").alias("n")).filter(F.col("n") <= max_posting).select("tag", "key")
-    kept = candidate_keys.join(cool, ["tag", "key"], "left_semi").select("tag", "key", F.col("entity_id").alias("candidate_entity_id"))
+    kept = candidate_keys.join(merging(cool), ["tag", "key"], "left_semi").select("tag", "key", F.col("entity_id").alias("candidate_entity_id"))
     mine = s1_keys.select("tag", "key", "family", "priority", F.col("entity_id").alias("source1_entity_id"))
-    return mine.join(kept, ["tag", "key"]).select("source1_entity_id", "candidate_entity_id", "family", "priority")
+    return mine.join(merging(kept), ["tag", "key"]).select("source1_entity_id", "candidate_entity_id", "family", "priority")
 
 
 def family_pairs(pairs: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def ranked(cands: DataFrame, s1: DataFrame, others: DataFrame) -> DataFrame:
     """
     a = token_sets(s1).select(F.col("entity_id").alias("source1_entity_id"), F.col("toks").alias("ta"))
     b = token_sets(others).select(F.col("entity_id").alias("candidate_entity_id"), F.col("toks").alias("tb"))
-    return cands.join(b, "candidate_entity_id").join(a, "source1_entity_id").select(*cands.columns, jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
+    return cands.join(merging(b), "candidate_entity_id").join(merging(a), "source1_entity_id").select(*cands.columns, jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
 
 
 def top_candidates(rated: DataFrame, k: int) -> DataFrame:

@@ -26,7 +26,7 @@ def test_fuzzy_ratios_of_every_candidate(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(test_catalog.SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["er_all_tfidf_cosine", "er_tfidf_cosine", "er_feature_matrix"])
+@pytest.mark.parametrize("name", ["er_all_tfidf_cosine", "er_tfidf_cosine", "er_feature_matrix", "er_prerank"])
 def test_records_of_pairs_are_not_broadcast(spark, name):
     df = entry.queries()[name](spark, test_catalog.SMALL)
     assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
