@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.ranks import prefix_sums
-from linkwright.operators.storage import durable
+from linkwright.operators.storage import durable, merging
 
-#: Combinations of source and margin values that the driver rakes; more of them are raked as a table.
+#: Combinations of source and margin values whose rates are broadcast; more of them are joined by merging, with the same result.
 MOST_CELLS = 200_000
-#: Rounds over all margins when cells are raked as a table.
+#: Rounds over all margins.
 TABLE_ROUNDS = 40
 _UNIT = 1_000_000
 
@@ -45,17 +45,19 @@ def rake(avail: np.ndarray, cap: np.ndarray, codes: list[np.ndarray], targets: l
     return w
 
 
-def rake_table(cells: DataFrame, dims: list[str], whole: float, *, rounds: int = TABLE_ROUNDS, close: float = 1e-4) -> DataFrame:
+def rake_table(cells: DataFrame, dims: list[str], whole: float, *, rounds: int = TABLE_ROUNDS, close: float = 1e-5) -> DataFrame:
     """`cells` (dims, n, cap, share) with the token weight `w`: what `rake` does, by grouped sums, for any number of cells.
 
     dims[0] is the source, whose target is its `share` of `whole`; the other margins keep the shares of the tokens
-    available. Each margin's factors are one row per value. Ends when the sources are within `close` of their targets, or after `rounds`.
+    available. Each margin's factors are one row per value. Ends when a round over all margins moves no weight by more than `close` of the
+    largest one, or after `rounds`.
     """
     cells = durable(cells.withColumn("w", F.least(F.col("n").cast("double"), F.col("cap"))))
     total = cells.agg(F.sum("n").alias("n")).collect()[0]["n"]
     goal = {d: durable(cells.groupBy(d).agg((F.first("share") * whole if d == dims[0] else F.sum("n") / total * whole).alias("goal"))) for d in dims}
     full = F.col("w") >= F.col("cap") * (1 - 1e-9)
     for _ in range(rounds):
+        cells = cells.withColumn("was", F.col("w"))
         for d in [*dims[1:], dims[0]]:
             sums = cells.groupBy(d).agg(F.sum("w").alias("have"), F.sum(F.when(full, F.col("w")).otherwise(0.0)).alias("shut")).join(goal[d], d)
             grow = F.col("goal") >= F.col("have")
@@ -63,8 +65,9 @@ def rake_table(cells: DataFrame, dims: list[str], whole: float, *, rounds: int =
             kept = cells.join(sums.select(d, factor.alias("f"), grow.alias("grow")), d)
             cells = kept.withColumn("w", F.when(F.col("grow") & full, F.col("w")).otherwise(F.least("cap", F.col("w") * F.col("f")))).drop("f", "grow")
         cells = durable(cells)
-        off = cells.groupBy(dims[0]).agg(F.sum("w").alias("have")).join(goal[dims[0]], dims[0]).agg(F.max(F.abs(F.col("have") / F.col("goal") - 1)).alias("off")).collect()[0]["off"]
-        if off is not None and off <= close:
+        done = cells.agg((F.max(F.abs(F.col("w") - F.col("was"))) <= close * F.max("w")).alias("done")).collect()[0]["done"]
+        cells = cells.drop("was")
+        if done:
             break
     return cells
 
@@ -98,24 +101,10 @@ def mix(df: DataFrame, key: str, size: str, source: str, margins: list[str], tar
         return spark.createDataFrame([], out_schema)
     targeted = sum(r["t"] for r in per_source)
     whole = min(r["n"] * r["m"] / (r["t"] / targeted) for r in per_source)
-    if cells.count() > MOST_CELLS:
-        raked = rake_table(cells.select("__src", *dims, "n", (F.col("n") * F.col("m")).cast("double").alias("cap"), "m", (F.col("t") / targeted).alias("share")), ["__src", *dims], whole)
-        rates = raked.select("__src", *dims, F.least(F.floor(F.col("w") / F.col("n") * _UNIT + 0.5), F.col("m") * _UNIT).cast("long").alias("__u"))
-        rated = usable.join(rates, ["__src", *dims])
-    else:
-        held = cells.orderBy("__src", *dims).toPandas()
-        avail, repeats = held["n"].to_numpy(float), held["m"].to_numpy(float)
-        codes = [held[c].astype("category").cat.codes.to_numpy() for c in ["__src", *dims]]
-        share = np.zeros(codes[0].max() + 1)
-        share[codes[0]] = held["t"].to_numpy(float)
-        goals = [share / share.sum() * whole]
-        for c in codes[1:]:
-            sums = np.bincount(c, avail)
-            goals.append(sums / sums.sum() * whole)
-        weight = rake(avail, avail * repeats, codes, goals)
-        units = np.minimum(np.floor(weight / avail * _UNIT + 0.5), repeats * _UNIT).astype(int)
-        rates = spark.createDataFrame(held[["__src", *dims]].assign(__u=units))
-        rated = usable.join(F.broadcast(rates), ["__src", *dims])  # at most MOST_CELLS rows
+    # One way for any number of cells, so that the mixture doesn't depend on it.
+    raked = rake_table(cells.select("__src", *dims, "n", (F.col("n") * F.col("m")).cast("double").alias("cap"), "m", (F.col("t") / targeted).alias("share")), ["__src", *dims], whole)
+    rates = raked.select("__src", *dims, F.least(F.floor(F.col("w") / F.col("n") * _UNIT + 0.5), F.col("m") * _UNIT).cast("long").alias("__u"))
+    rated = usable.join(F.broadcast(rates) if cells.count() <= MOST_CELLS else merging(rates), ["__src", *dims])
     # By size from large to small in bands of an eighth of a doubling, each in 16 hashed parts.
     band = (F.floor(-8 * F.log2(F.col("__n").cast("double"))) * 16 + F.pmod(F.xxhash64("__k"), F.lit(16))).cast("int")
     sums = prefix_sums(rated, ["__src"], [F.col("__n").desc(), *dims, F.xxhash64("__k"), F.col("__k")], {"__c": F.col("__u").cast("long")}, bucket=band)

@@ -177,3 +177,14 @@ def test_items_that_fit_badly_stay_in_bounded_groups(spark):
     got = packing.pack(df, "k", "n", 2048, items_per_group=50).collect()
     assert len(got) == 300 and len({r["container_id"] for r in got}) == 300
     assert {r["container_id"].split("-")[0] for r in got} == {"0"}  # one round
+
+
+def test_mixture_does_not_depend_on_the_number_of_cells_held(spark, monkeypatch):
+    rng = random.Random(10)
+    data = [(i, rng.choice(["big"] * 5 + ["mid", "small"]), rng.choice(["en", "en", "de", None]), rng.choice("aab"), rng.randrange(1, 400)) for i in range(1500)]
+    df = spark.createDataFrame(data, "k long, source string, lang string, section string, size long")
+    t = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.3, 2), ("small", 0.1, 4)], "source string, target_share double, max_repeats int")
+    run = lambda: {r["k"]: r["n_copies"] for r in mixing.mix(df, "k", "size", "source", ["lang", "section"], t).collect()}
+    few = run()
+    monkeypatch.setattr(mixing, "MOST_CELLS", 2)
+    assert run() == few
