@@ -29,7 +29,7 @@ EXACT = tuple(VOTES.index(v) for v in ("near", "place", "number", "direction", "
 TRADE_SHARE, TRADE_LEAST = 0.008, 20
 #: How often a vote that holds by definition is against all the same.
 SLIP = 1e-4
-#: A key of more reference rows than this is joined together with a further word of the address.
+#: The reference rows of a key with more than this are joined in parts of about this size.
 HOT_KEY = 64
 
 
@@ -199,7 +199,7 @@ _NUMBERS = r"(?<!\d)\d{5}-\d{4}(?!\d)|(?<!\d)\d{3} \d{3}(?!\d)|(?:sector|sec|sho
 
 
 def _asked(df: DataFrame, trades: list[str]) -> DataFrame:
-    """(h, keys, more): what each hand-typed row asks for. Numbers are those of the address but suites and the like.
+    """(h, keys): what each hand-typed row asks for. Numbers are those of the address but suites and the like.
 
     h: a hash of the row; should two rows share it, each is a candidate where the other is. A row with a number asks by it
     and the ends of its name's words, one without a name by number and code or number and word; a row without any number by its name.
@@ -212,35 +212,27 @@ def _asked(df: DataFrame, trades: list[str]) -> DataFrame:
     words = F.concat(F.filter("numbers", lambda n: F.length(n) > 4), F.filter(F.split(sounding(plain(F.col("address"))), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]")))
     asks = F.when(F.col("name").isNull(), words).otherwise(F.col("ends"))
     by_number = F.flatten(F.transform(F.when(F.size("short") > 0, F.col("short")).otherwise(F.col("numbers")), lambda n: _with_number(n, asks)))
-    return read.select(_row(), F.array_distinct(F.when(F.size("numbers") > 0, by_number).when(F.size("own") > 0, _named())).alias("keys"), F.when(F.size("numbers") > 0, words).otherwise(_name_words()).alias("more"))
+    return read.select(_row(), F.array_distinct(F.when(F.size("numbers") > 0, by_number).when(F.size("own") > 0, _named())).alias("keys"))
 
 
 def _row() -> Column:
     return F.xxhash64("id", "name", "address", "country").alias("h")
 
 
-def _address_words() -> Column:
-    return F.concat(F.filter(F.array("street_sound", "code"), lambda w: F.length(w) > 0), F.transform("rest", sounding))
-
-
-def _name_words() -> Column:
-    return F.concat(F.transform("sounds", lambda w: F.substring(w, 1, 3)), F.filter("words", lambda w: ~F.array_contains("own", w)))
-
-
 def _candidates(answers: DataFrame, asks: DataFrame) -> DataFrame:
-    """(h, arow, n) of all pairs of `answers` (arow, n, keys, more) and `asks` (h, keys, more) that share a key, each once.
+    """(h, arow, n) of all pairs of `answers` (arow, n, keys) and `asks` (h, keys) that share a key, each once.
 
-    A key of more than HOT_KEY rows of the clean side, which could bring a block of any size, is replaced on both sides
-    by one key for every further word: such pairs must agree in one of these as well.
+    The clean rows of a key of more than HOT_KEY, which could make a block of any size, are divided into parts; a row that
+    asks for it asks each part. No pair is lost by that.
     """
     # explode_outer: of explode a filter on the keys is inferred and pushed down, where all of them are computed twice
-    left, right = durable(answers.select("arow", "n", F.explode_outer("keys").alias("k"))), asks.select("h", F.explode_outer("keys").alias("k"))
-    hot = durable(left.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_KEY).select("k", F.lit(True).alias("hot")))
+    left, right, on = durable(answers.select("arow", "n", F.explode_outer("keys").alias("k"))), asks.select("h", F.explode_outer("keys").alias("k")), ["k"]
+    hot = durable(left.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_KEY).select("k", F.ceil(F.col("c") / HOT_KEY).cast("int").alias("parts")))
     if not hot.isEmpty():
-        refined = F.when(F.col("hot"), F.transform("more", lambda m: F.xxhash64("k", m))).otherwise(F.array("k"))
-        left = answers.select("arow", "n", "more", F.explode_outer("keys").alias("k")).join(hot, "k", "left").select("arow", "n", F.explode_outer(refined).alias("k"))
-        right = asks.select("h", "more", F.explode_outer("keys").alias("k")).join(hot, "k", "left").select("h", F.explode_outer(refined).alias("k"))
-    return left.join(right, "k").select("h", "arow", "n").distinct()
+        parts, on = F.coalesce("parts", F.lit(1)), ["k", "part"]
+        left = left.join(hot, "k", "left").select("arow", "n", "k", F.pmod(F.xxhash64("arow"), parts).cast("int").alias("part"))
+        right = right.join(hot, "k", "left").select("h", "k", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return left.join(right, on).select("h", "arow", "n").distinct()
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -321,8 +313,8 @@ def link(reference: DataFrame, records: DataFrame, key: str, name: str, address:
     # Each distinct name of the reference stands for its rows; n says how many these are.
     form = a.filter(F.size("own") > 0).groupBy(F.array_sort("own").alias("o"), F.array_sort("trade").alias("t"), "given").agg(F.count("*").alias("n"), F.min(F.struct("arow", "words", "own", "sounds")).alias("x")).select("n", "x.*")
     at_number = _with_number(F.col("number"), F.array_distinct(F.concat(_ends(True), F.filter(F.array("street_sound", "code"), lambda w: F.length(w) > 0))))
-    answers = mine.filter("number is not null").select("arow", F.lit(0).cast("long").alias("n"), at_number.alias("keys"), _address_words().alias("more"))
-    answers = answers.unionByName(form.select("arow", "n", F.array_distinct(_named()).alias("keys"), _name_words().alias("more")))
+    answers = mine.filter("number is not null").select("arow", F.lit(0).cast("long").alias("n"), at_number.alias("keys"))
+    answers = answers.unionByName(form.select("arow", "n", F.array_distinct(_named()).alias("keys")))
     cand = durable(_candidates(answers, _asked(typed, trades))).filter("n >= 0")
 
     left = a.select("arow", F.struct(*_SIDE).alias("a"))
