@@ -52,9 +52,9 @@ def test_hot_keys_are_refined_without_loss(spark, monkeypatch):
 
 def test_hot_keys_lose_no_pair(spark, monkeypatch):
     """Records with a hot key and no further word as the reference writes it are candidates all the same."""
-    ref = spark.createDataFrame([(i, ["hot"]) for i in range(20)] + [(20, ["cool"])], "arow long, keys array<string>")
+    ref = spark.createDataFrame([(i, [1]) for i in range(20)] + [(20, [2])], "arow long, keys array<long>")
     ref = ref.select("arow", F.lit(0).cast("long").alias("n"), "keys", F.array(F.concat(F.lit("a"), "arow")).alias("more"))
-    asks = spark.createDataFrame([(1, ["hot", "cool"]), (2, ["cool"]), (3, None)], "h long, keys array<string>").withColumn("more", F.array(F.lit("b")))
+    asks = spark.createDataFrame([(1, [1, 2]), (2, [2]), (3, None)], "h long, keys array<long>").withColumn("more", F.array(F.lit("b")))
     monkeypatch.setattr(linkage, "HOT_KEY", 3)
     got = [tuple(r) for r in linkage._candidates(ref, asks).select("h", "arow").collect()]
     assert len(got) == len(set(got)) and set(got) == {(1, i) for i in range(21)} | {(2, 20)}
