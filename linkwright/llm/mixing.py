@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+from contextlib import ExitStack
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ MOST_CELLS = 200_000
 #: Rounds over all margins.
 TABLE_ROUNDS = 40
 _UNIT = 1_000_000
+#: Cells that are raked at a time, and rows of a batch of the result.
+_PIECE, _ROWS = 1 << 20, 10_000
 
 
 def rake(avail: np.ndarray, cap: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, close: float = 1e-9) -> np.ndarray:
@@ -46,30 +53,62 @@ def rake(avail: np.ndarray, cap: np.ndarray, codes: list[np.ndarray], targets: l
 
 
 def rake_table(cells: DataFrame, dims: list[str], whole: float, *, rounds: int = TABLE_ROUNDS, close: float = 1e-5) -> DataFrame:
-    """`cells` (dims, n, cap, share) with the token weight `w`: what `rake` does, by grouped sums, for any number of cells.
+    """`cells` (dims, n, m, share) as (dims, n, m, w) with the token weight `w`, at most n times m: what `rake` does, for any number of cells.
 
     dims[0] is the source, whose target is its `share` of `whole`; the other margins keep the shares of the tokens
-    available. Each margin's factors are one row per value. Ends when a round over all margins moves no weight by more than `close` of the
-    largest one, or after `rounds`.
+    available. Ends when a round over all margins moves no weight by more than `close` of the largest one, or after `rounds`.
+
+    All rounds run in one task, so that the driver plans one job and not several a round. The task keeps the cells in files on
+    its disk (some 50 bytes each) and takes them piece by piece; it holds one row per value of a margin.
     """
-    cells = durable(cells.withColumn("w", F.least(F.col("n").cast("double"), F.col("cap"))))
-    total = cells.agg(F.sum("n").alias("n")).collect()[0]["n"]
-    goal = {d: durable(cells.groupBy(d).agg((F.first("share") * whole if d == dims[0] else F.sum("n") / total * whole).alias("goal"))) for d in dims}
-    full = F.col("w") >= F.col("cap") * (1 - 1e-9)
-    for _ in range(rounds):
-        cells = cells.withColumn("was", F.col("w"))
-        for d in [*dims[1:], dims[0]]:
-            sums = cells.groupBy(d).agg(F.sum("w").alias("have"), F.sum(F.when(full, F.col("w")).otherwise(0.0)).alias("shut")).join(goal[d], d)
-            grow = F.col("goal") >= F.col("have")
-            factor = F.when(grow, F.when(F.col("have") > F.col("shut"), F.greatest(F.lit(1.0), (F.col("goal") - F.col("shut")) / (F.col("have") - F.col("shut")))).otherwise(1.0)).otherwise(F.col("goal") / F.col("have"))
-            kept = cells.join(sums.select(d, factor.alias("f"), grow.alias("grow")), d)
-            cells = kept.withColumn("w", F.when(F.col("grow") & full, F.col("w")).otherwise(F.least("cap", F.col("w") * F.col("f")))).drop("f", "grow")
-        cells = durable(cells)
-        done = cells.agg((F.max(F.abs(F.col("w") - F.col("was"))) <= close * F.max("w")).alias("done")).collect()[0]["done"]
-        cells = cells.drop("was")
-        if done:
-            break
-    return cells
+    kinds = ", ".join(f"{d} string" for d in dims)
+
+    def raked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with tempfile.TemporaryDirectory() as folder:
+            values: list[dict[str, int]] = [{} for _ in dims]
+            share: dict[str, float] = {}
+            with ExitStack() as stack:
+                files = {c: stack.enter_context(open(f"{folder}/{c}", "wb")) for c in [*dims, "n", "m"]}
+                for b in batches:
+                    for d, known in zip(dims, values):
+                        codes, found = pd.factorize(b[d])
+                        files[d].write(np.array([known.setdefault(v, len(known)) for v in found], dtype="int32")[codes].tobytes())
+                    files["n"].write(b["n"].to_numpy("int64").tobytes())
+                    files["m"].write(b["m"].to_numpy("int64").tobytes())
+                    share |= dict(zip(b[dims[0]], b["share"]))
+            if not share:
+                return
+            codes = [np.memmap(f"{folder}/{d}", "int32", "r") for d in dims]
+            n, m = np.memmap(f"{folder}/n", "int64", "r"), np.memmap(f"{folder}/m", "int64", "r")
+            w, was = (np.memmap(f"{folder}/{c}", "float64", "w+", shape=n.shape) for c in ("w", "was"))
+            pieces = [slice(i, i + _PIECE) for i in range(0, len(n), _PIECE)]
+            sums = lambda d, of: sum((np.bincount(codes[d][s], of(s), len(values[d])) for s in pieces), np.zeros(len(values[d])))
+            cap = lambda s: (n[s] * m[s]).astype(float)
+            full = lambda s: w[s] >= cap(s) * (1 - 1e-9)
+            total = sum(int(n[s].sum()) for s in pieces)
+            goals = [np.array([share[v] for v in values[0]]) * whole, *[sums(d, lambda s: n[s]) / total * whole for d in range(1, len(dims))]]
+            for s in pieces:
+                w[s] = np.minimum(n[s], cap(s))
+            for _ in range(rounds):
+                for s in pieces:
+                    was[s] = w[s]
+                for d in [*range(1, len(dims)), 0]:
+                    goal, have, shut = goals[d], sums(d, lambda s: w[s]), sums(d, lambda s: np.where(full(s), w[s], 0.0))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        factor = np.where(goal < have, goal / have, np.where(have > shut, np.maximum(1.0, (goal - shut) / (have - shut)), 1.0))
+                    for s in pieces:
+                        at = codes[d][s]
+                        w[s] = np.where((goal >= have)[at] & full(s), w[s], np.minimum(cap(s), w[s] * factor[at]))
+                if max(np.abs(w[s] - was[s]).max() for s in pieces) <= close * max(w[s].max() for s in pieces):
+                    break
+            names = [np.array(list(known), dtype=object) for known in values]
+            for i in range(0, len(n), _ROWS):
+                s = slice(i, i + _ROWS)
+                yield pd.DataFrame({d: names[k][codes[k][s]] for k, d in enumerate(dims)} | {"n": n[s], "m": m[s], "w": w[s]})
+
+    # In one order, so that sums come out the same each time.
+    ordered = cells.select(*dims, "n", "m", "share").repartition(1).sortWithinPartitions(*dims)
+    return durable(ordered.mapInPandas(raked, f"{kinds}, n long, m long, w double"))
 
 
 def mix(df: DataFrame, key: str, size: str, source: str, margins: list[str], targets: DataFrame) -> DataFrame:
@@ -102,7 +141,7 @@ def mix(df: DataFrame, key: str, size: str, source: str, margins: list[str], tar
     targeted = sum(r["t"] for r in per_source)
     whole = min(r["n"] * r["m"] / (r["t"] / targeted) for r in per_source)
     # One way for any number of cells, so that the mixture doesn't depend on it.
-    raked = rake_table(cells.select("__src", *dims, "n", (F.col("n") * F.col("m")).cast("double").alias("cap"), "m", (F.col("t") / targeted).alias("share")), ["__src", *dims], whole)
+    raked = rake_table(cells.select("__src", *dims, "n", "m", (F.col("t") / targeted).alias("share")), ["__src", *dims], whole)
     rates = raked.select("__src", *dims, F.least(F.floor(F.col("w") / F.col("n") * _UNIT + 0.5), F.col("m") * _UNIT).cast("long").alias("__u"))
     rated = usable.join(F.broadcast(rates) if cells.count() <= MOST_CELLS else merging(rates), ["__src", *dims])
     # By size from large to small in bands of an eighth of a doubling, each in 16 hashed parts.

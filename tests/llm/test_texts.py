@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linkwright.llm import chunking, mixing, packing
 from linkwright.llm.tokens import COMPILED, token_count
@@ -188,3 +189,24 @@ def test_mixture_does_not_depend_on_the_number_of_cells_held(spark, monkeypatch)
     few = run()
     monkeypatch.setattr(mixing, "MOST_CELLS", 2)
     assert run() == few
+
+
+def test_all_rounds_of_raking_are_one_job(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_PIECE", 7, raising=False)
+    rng = random.Random(11)
+    data = [(s, lang, str(x), rng.randrange(1, 900), m, share) for s, m, share in (("big", 1, 0.6), ("mid", 2, 0.3), ("small", 4, 0.1)) for lang in ("en", "de", "") for x in range(9)]
+    n = {s: sum(r[3] for r in data if r[0] == s) for s in ("big", "mid", "small")}
+    whole = min(n[s] * m / share for s, m, share in (("big", 1, 0.6), ("mid", 2, 0.3), ("small", 4, 0.1)))
+    cells = spark.createDataFrame(data, "src string, lang string, section string, n long, m long, share double").withColumn("cap", (F.col("n") * F.col("m")).cast("double"))
+    spark.sparkContext.setJobGroup("rake", "rake")
+    got = mixing.rake_table(cells, ["src", "lang", "section"], whole)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rake")) <= 3
+    got = got.collect()
+    assert len(got) == len(data) and all(r["w"] <= r["n"] * r["m"] * (1 + 1e-9) for r in got)
+    for s, share in (("big", 0.6), ("mid", 0.3), ("small", 0.1)):
+        assert sum(r["w"] for r in got if r["src"] == s) == pytest.approx(share * whole, rel=1e-6)
+    all_n = sum(n.values())
+    for lang in ("en", "de", ""):
+        assert sum(r["w"] for r in got if r["lang"] == lang) == pytest.approx(sum(r[3] for r in data if r[1] == lang) / all_n * whole, rel=0.05)
+    assert mixing.rake_table(cells.limit(0), ["src", "lang", "section"], 1.0).count() == 0
