@@ -1,12 +1,12 @@
 """TF-IDF over character n-grams inside words: sublinear counts, smooth idf, unit length.
 
-Fitted in SQL. Cosines are computed where a pair's texts are (Arrow), so that pairs carry texts and no weights.
+Terms are counted and cosines computed where the texts are (Arrow), so that neither the terms of a text nor its weights become rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from linkwright.config import DEFAULT, Settings
 from linkwright.functions.text import tokens
+from linkwright.operators.storage import durable
 
 
 def ngrams(c: Column, low: int, high: int) -> Column:
@@ -32,6 +33,17 @@ def ngrams(c: Column, low: int, high: int) -> Column:
     return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
 
+@lru_cache(maxsize=1 << 14)
+def _of_word(word: str, low: int, high: int) -> tuple[str, ...]:
+    padded = f" {word} "
+    return tuple(padded[i : i + n] for n in range(low, high + 1) for i in range(len(padded) - n + 1))
+
+
+def _grams(text: str, low: int, high: int) -> list[str]:
+    """What `ngrams` gives, word by word."""
+    return [g for w in text.split(" ") if w for g in _of_word(w, low, high)]
+
+
 def fit(corpus: DataFrame, column: str, settings: Settings = DEFAULT) -> DataFrame:
     """(term, df, tf, idf): the vocabulary of `corpus`, most frequent terms first, ties by term.
 
@@ -39,10 +51,28 @@ def fit(corpus: DataFrame, column: str, settings: Settings = DEFAULT) -> DataFra
     idf = ln((1 + texts) / (1 + df)) + 1; empty texts count as texts.
     """
     n = corpus.count()
-    # Equal texts are counted once; terms of a text are counted where the text is, without an exchange.
-    texts = corpus.groupBy(column).agg(F.count("*").alias("m"))
-    grams = texts.select(column, "m", F.explode(ngrams(F.col(column), *settings.tfidf_ngrams)).alias("term"))
-    per = grams.groupBy(column, "m", "term").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("m").alias("df"), F.sum(F.col("c") * F.col("m")).alias("tf"))
+    low, high = settings.tfidf_ngrams
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words, seen = Counter(), defaultdict(Counter)
+            for text, m in zip(b["text"].tolist(), b["m"].tolist()):
+                for w in (text or "").split(" "):
+                    words[w] += m
+                seen[m].update(set(_grams(text or "", low, high)))
+            df, tf = Counter(), Counter()
+            for m, terms in seen.items():
+                for g, c in terms.items():
+                    df[g] += c * m
+            for w, c in words.items():
+                for g in _grams(w, low, high):
+                    tf[g] += c
+            tf = {g: tf[g] for g in df}
+            yield pd.DataFrame({"term": list(df), "df": list(df.values()), "tf": list(tf.values())})
+
+    # Equal texts are counted once, their terms batch by batch, so that no task holds the terms of all its texts.
+    texts = corpus.groupBy(F.col(column).alias("text")).agg(F.count("*").alias("m"))
+    per = texts.mapInPandas(counted, "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     kept = per.filter(F.col("df") >= settings.tfidf_min_df).orderBy(F.desc("tf"), "term").limit(settings.tfidf_max_terms)
     return kept.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
@@ -59,10 +89,11 @@ def weights(norm: DataFrame, column: str, terms: DataFrame, settings: Settings =
 def cosine(a: str, b: str, terms: DataFrame, settings: Settings = DEFAULT) -> Column:
     """Cosine of the texts in columns `a` and `b`; 0 where one has no known term.
 
-    The vocabulary, `tfidf_max_terms` rows at most, is sent to the workers.
+    The vocabulary, `tfidf_max_terms` rows at most, is sent to the workers. It is written first: collected as it is, each task
+    would send the driver so many rows, which cuts them there.
     """
     low, high = settings.tfidf_ngrams
-    sent = terms.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in terms.select("term", "idf").collect()})
+    sent = terms.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in durable(terms.select("term", "idf")).toLocalIterator()})
 
     @F.pandas_udf("double")
     def dot(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -70,9 +101,8 @@ def cosine(a: str, b: str, terms: DataFrame, settings: Settings = DEFAULT) -> Co
 
         @lru_cache(maxsize=1 << 14)
         def weights(text: str) -> dict[str, float]:
-            padded = [f" {w} " for w in text.split(" ") if w]
-            counts = Counter(w[i : i + n] for n in range(low, high + 1) for w in padded for i in range(len(w) - n + 1))
-            x = {g: (1.0 + math.log(c)) * idf[g] for g, c in counts.items() if g in idf}
+            counts = Counter(_grams(text, low, high))
+            x = {g: v if c == 1 else (1.0 + math.log(c)) * v for g, c in counts.items() if (v := idf.get(g)) is not None}
             length = math.sqrt(sum(v * v for v in x.values()))
             return {g: v / length for g, v in x.items()}
 
