@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.reading import given_name, plain, sounding, with_address, with_words
 from linkwright.llm.wording import FORMAL_NAME
-from linkwright.operators.storage import bloom_joins, durable
+from linkwright.operators.storage import bloom_joins, durable, small_methods
 
 #: The matching functions: of the organisation, then of the place.
 NAME_VOTES, PLACE_VOTES = ["words", "near", "trade", "given"], ["place", "number", "direction", "street", "kind", "town", "code", "country"]
@@ -195,7 +195,7 @@ def _named() -> Column:
 
 
 # The numbers of an address in group 1, but for those of suites and the like and split codes, where it is empty.
-_NUMBERS = r"(?<!\d)\d{5}-\d{4}(?!\d)|(?<!\d)\d{3} \d{3}(?!\d)|(?:sector|sec|shop|suite|ste|unit|office|floor|fl)[ .\-#]{0,2}(?:no[ .]*)?\d+|0*(\d{1,6})(?!\d|st|nd|rd|th)"
+_NUMBERS = r"(?=[\dsuof])(?:(?<!\d)\d{5}-\d{4}(?!\d)|(?<!\d)\d{3} \d{3}(?!\d)|(?:sector|sec|shop|suite|ste|unit|office|floor|fl)[ .\-#]{0,2}(?:no[ .]*)?\d+|0*(\d{1,6})(?!\d|st|nd|rd|th))"
 
 
 def _asked(df: DataFrame, trades: list[str]) -> DataFrame:
@@ -307,7 +307,8 @@ def link(reference: DataFrame, records: DataFrame, key: str, name: str, address:
     cols = [F.col(key).alias("id"), F.col(name).alias("name"), F.col(address).alias("address"), F.col(country).alias("country")]
     clean = reference.select(*cols).filter("id is not null").distinct()
     trades = trade_words(clean)
-    a = durable(_sides(clean, trades).select("id", *_SIDE).withColumn("arow", F.monotonically_increasing_id()))
+    with small_methods(reference.sparkSession):
+        a = durable(_sides(clean, trades).select("id", *_SIDE).withColumn("arow", F.monotonically_increasing_id()))
     typed = records.select(*cols).filter("id is not null")
     mine = a.join(only.select(F.col(key).alias("id")).distinct(), "id", "left_semi") if only is not None else a
     # Each distinct name of the reference stands for its rows; n says how many these are.
@@ -315,14 +316,15 @@ def link(reference: DataFrame, records: DataFrame, key: str, name: str, address:
     at_number = _with_number(F.col("number"), F.array_distinct(F.concat(_ends(True), F.filter(F.array("street_sound", "code"), lambda w: F.length(w) > 0))))
     answers = mine.filter("number is not null").select("arow", F.lit(0).cast("long").alias("n"), at_number.alias("keys"))
     answers = answers.unionByName(form.select("arow", "n", F.array_distinct(_named()).alias("keys")))
-    cand = durable(_candidates(answers, _asked(typed, trades))).filter("n >= 0")
+    with small_methods(reference.sparkSession):
+        cand = durable(_candidates(answers, _asked(typed, trades))).filter("n >= 0")
 
     left = a.select("arow", F.struct(*_SIDE).alias("a"))
     # each row is read once, however many candidates it has; both joins are by h
     asked = _sides(typed.withColumn("h", _row()).join(cand, "h", "left_semi"), trades)
     held = asked.join(cand, "h").select("h", "arow", "n", F.col("id").alias("b_id"), F.struct(*_SIDE).alias("b")).join(left, "arow")
     held = held.withColumn("nameless", F.size("b.words") == 0)
-    with bloom_joins(reference.sparkSession):
+    with bloom_joins(reference.sparkSession), small_methods(reference.sparkSession):
         voted = durable(_voted(held).withColumn("same_number", F.col("same_number") | (F.col("n") > 0)))
     seen = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # at most 3 ** len(VOTES) rows
     out = [F.col("id").alias(f"reference_{key}"), F.col("b_id").alias(key), "confidence"]

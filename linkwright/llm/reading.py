@@ -45,7 +45,10 @@ def sounding(text: Column) -> Column:
 # Names
 
 _OTHER_NAME = r"(?s)^.*\b(?:d/b/a|dba|d\.b\.a\.?|doing business as|trading as|t/a)\b(?=.*[a-z0-9])"
-_NO_NAME = r"(?s)^\W*(?:m/s|messrs)\b\.?|\(?\s*\b(?:f[o0]rmerly|f/k/a|fka|earlier|previously)\b.*|\(p\)|\bp\.?(?=\s*(?:ltd|limited)\b)|(?<=\b[a-z])\.\s?(?=[a-z]\b)|'"
+# Here and below, a look at the next letter spares trying each alternative at every place of a text.
+_NO_NAME = r"(?s)^\W*(?:m/s|messrs)\b\.?|(?=[(\sfep.'])(?:\(?\s*\b(?:f[o0]rmerly|f/k/a|fka|earlier|previously)\b.*|\(p\)|\bp\.?(?=\s*(?:ltd|limited)\b)|(?<=\b[a-z])\.\s?(?=[a-z]\b)|')"
+# A name without any of these has nothing that _NO_NAME finds.
+_NO_NAME_MARKS = ["m/s", "messrs", "rmerly", "f/k/a", "fka", "earlier", "previously", "(p)", "ltd", "limited", ".", "'"]
 
 
 def with_words(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +60,7 @@ def with_words(df: DataFrame, name: str) -> DataFrame:
     read = df.withColumn("__n", F.replace(plain(F.coalesce(df[name], F.lit(""))), F.lit("'n'"), F.lit(" ")))
     n, has = F.col("__n"), lambda *marks: F.lit(False) if not marks else F.col("__n").contains(marks[0]) | has(*marks[1:])
     n = F.when(has("dba", "d/b/a", "d.b.a", "doing business as", "trading as", "t/a"), F.regexp_replace(n, _OTHER_NAME, "")).otherwise(n)
-    read = read.withColumn("__n", F.regexp_replace(n, _NO_NAME, ""))
+    read = read.withColumn("__n", F.when(has(*_NO_NAME_MARKS), F.regexp_replace(n, _NO_NAME, "")).otherwise(n))
     words = F.split("__n", "[^a-z0-9]+")
     letters = F.transform(words, lambda w: F.when(w.rlike("[a-z]"), F.translate(w, "015", "ols")).otherwise(w))
     words = F.when(has("0", "1", "5"), letters).otherwise(words)
@@ -77,10 +80,10 @@ _TO = "north|south|east|west|[nsew]"
 _HOUSE = "|".join(sorted(HOUSE_WORDS, key=len, reverse=True))
 _UNITS = "|".join(sorted(UNIT_WORDS, key=len, reverse=True))
 # A word made of the letters of `suite`, `office`, `sector` only is one of them, mistyped.
-_UNIT = rf" (?:(?:{_UNITS}|s[uite]{{3,5}}|o[fice]{{4,6}}|s[ector]{{4,6}})(?: no| num| number)? \d+[a-z]?|(?:ste|sec|fl|shop|unit|suite|sector)\d+)(?= )"
-_LANDMARK = rf" (?:{'|'.join(sorted(LANDMARK_LEADS, key=len, reverse=True))})(?: old)?(?: [a-z0-9]+)?(?: old)?(?: [a-z0-9]+)?(?= )"
+_UNIT = rf" (?=[{''.join(sorted({w[0] for w in UNIT_WORDS}))}])(?:(?:{_UNITS}|s[uite]{{3,5}}|o[fice]{{4,6}}|s[ector]{{4,6}})(?: no| num| number)? \d+[a-z]?|(?:ste|sec|fl|shop|unit|suite|sector)\d+)(?= )"
+_LANDMARK = rf" (?=[{''.join(sorted({w[0] for w in LANDMARK_LEADS}))}])(?:{'|'.join(sorted(LANDMARK_LEADS, key=len, reverse=True))})(?: old)?(?: [a-z0-9]+)?(?: old)?(?: [a-z0-9]+)?(?= )"
 # A house number of five or six digits: a street and its kind follow, or it comes first and a code comes later.
-_LONG_HOUSE = rf" (?<! pin )(?<! zip )(\d{{5,6}})(?=(?: [a-d])?(?: ,)?(?: (?:{_TO}))? [a-z][a-z0-9]* (?:{_FORMS}) )|^((?: ,)?(?: (?:{_HOUSE})){{0,3}}) (\d{{5,6}})(?= [a-z](?:.* )?(?:\d{{5,6}}|\d{{3}} \d{{3}}) )"
+_LONG_HOUSE = rf" (?=\d)(?<! pin )(?<! zip )(\d{{5,6}})(?=(?: [a-d])?(?: ,)?(?: (?:{_TO}))? [a-z][a-z0-9]* (?:{_FORMS}) )|^((?: ,)?(?: (?:{_HOUSE})){{0,3}}) (\d{{5,6}})(?= [a-z](?:.* )?(?:\d{{5,6}}|\d{{3}} \d{{3}}) )"
 _PLACE = rf"^(.*?) (\d{{1,4}}|x\d{{5,6}})(?:([a-z])| ([a-d]))?(?= )(?: ,){{0,9}}(?: ({_TO})(?= [a-z0-9]))? ([a-z0-9]+)(?= )(.*)$"
 # What is no name of a town or state: signs, single letters, words with a digit first, words that lead to numbers.
 _FILLER = rf" (?:,|[a-z]|x\d+|\d[a-z0-9]*|{'|'.join(sorted(HOUSE_WORDS | UNIT_WORDS | {'pin', 'zip', *DIRECTIONS}, key=len, reverse=True))})(?= )"

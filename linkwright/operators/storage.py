@@ -60,9 +60,24 @@ def bloom_joins(spark: SparkSession) -> Iterator[None]:
     The filter is made of a written table with a comparison on it, if Spark knows it to be below its own
     limit (creationSideThreshold); its bits are bounded by Spark as well. The session's setting is restored afterwards.
     """
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    with _setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1b"):
+        yield
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Within, stages of many expressions run as several small methods where one generated for all would be above 8000 bytes.
+
+    The JVM never compiles a method of more than that, but interprets it row by row. Holds for what is written within.
+    """
+    with _setting(spark, "spark.sql.codegen.hugeMethodLimit", "8000"):
+        yield
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "1b")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
