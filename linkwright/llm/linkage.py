@@ -11,6 +11,10 @@ Everything up to the counts of patterns is SQL: keys, joins and votes are Column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import combinations, permutations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,7 +158,7 @@ def _own(df: DataFrame, trades: list[str]) -> DataFrame:
     """`df` with the words of column `name`: all (`words`), those of its own without trade and given name (`own`), and how these sound."""
     known = [*trades, *FORMAL_NAME]
     read = with_words(df, "name").withColumn("own", F.filter("words", lambda w: ~w.isin(known)))
-    return read.withColumn("sounds", F.filter(F.split(sounding(F.array_join("own", " ")), " "), lambda w: w != ""))
+    return read.withColumn("sounds", F.when(F.size("own") > 0, F.split(sounding(F.array_join("own", " ")), " ")).otherwise(F.array().cast("array<string>")))
 
 
 def _sides(df: DataFrame, trades: list[str]) -> DataFrame:
@@ -173,13 +177,25 @@ def _ends(clean: bool) -> Column:
     begins = F.flatten(F.transform(long, lambda w: F.transform(others(w), lambda c: begin(w, c))))
     ends = F.flatten(F.transform(long, lambda w: F.transform(F.filter(long, lambda v: v < w), lambda v: F.concat(F.lit(">"), F.least(F.substring(w, -4, 4), F.substring(v, -4, 4)), F.lit("+"), F.greatest(F.substring(w, -4, 4), F.substring(v, -4, 4))))))
     every = F.concat(begins, ends, F.flatten(F.transform(lone, lambda w: F.array(begin(w, F.lit("")), F.concat(F.lit(">"), F.substring(w, -5, 5))))))
-    if clean:
-        return every
-    # the same, written out for the usual name: two words that are neither short nor two in one
-    v, w = F.get("sounds", F.lit(0)), F.get("sounds", F.lit(1))
-    x, y = F.substring(v, -4, 4), F.substring(w, -4, 4)
-    usual = F.array(begin(v, F.substring(w, 1, 1)), begin(w, F.substring(v, 1, 1)), F.concat(F.lit(">"), F.least(x, y), F.lit("+"), F.greatest(x, y)))
-    return F.when((F.size("sounds") == 2) & F.length(v).between(4, 9) & F.length(w).between(4, 9) & (v != w), usual).otherwise(every)
+    # the same, written out for the usual names, of two words or three: what is called for each word of an array is slow
+    return F.when(_usual(2, clean), _written(2, clean, begin)).when(_usual(3, clean), _written(3, clean, begin)).otherwise(every)
+
+
+def _usual(n: int, clean: bool) -> Column:
+    """`sounds` has n words, each another; of hand-typed ones none that may be two."""
+    words = [F.get("sounds", F.lit(i)) for i in range(n)]
+    tests = [F.size("sounds") == n, *[v != w for v, w in combinations(words, 2)], *[F.length(w) < 10 for w in words if not clean]]
+    return reduce(Column.__and__, tests)
+
+
+def _written(n: int, clean: bool, begin: Callable[[Column, Column], Column]) -> Column:
+    """What `_ends` makes of n such words; null stands for what a short word lacks."""
+    words, long = [F.get("sounds", F.lit(i)) for i in range(n)], lambda w: F.length(w) > 3
+    begins = [F.when(long(words[i]), begin(words[i], F.substring(words[j], 1, 1))) for i, j in permutations(range(n), 2)]
+    tails = [(v, w, F.substring(v, -4, 4), F.substring(w, -4, 4)) for v, w in combinations(words, 2)]
+    ends = [F.when(long(v) & long(w), F.concat(F.lit(">"), F.least(x, y), F.lit("+"), F.greatest(x, y))) for v, w, x, y in tails]
+    lone = [F.when(long(w), k) for w in words for k in (begin(w, F.lit("")), F.concat(F.lit(">"), F.substring(w, -5, 5))) if clean]
+    return F.array(*begins, *ends, *lone)
 
 
 def _with_number(number: Column, words: Column) -> Column:
@@ -199,7 +215,7 @@ _NUMBERS = r"(?=[\dsuof])(?:(?<!\d)\d{5}-\d{4}(?!\d)|(?<!\d)\d{3} \d{3}(?!\d)|(?
 
 
 def _asked(df: DataFrame, trades: list[str]) -> DataFrame:
-    """(h, keys): what each hand-typed row asks for. Numbers are those of the address but suites and the like.
+    """(h, k): the keys that each hand-typed row asks for. Numbers are those of the address but suites and the like.
 
     h: a hash of the row; should two rows share it, each is a candidate where the other is. A row with a number asks by it
     and the ends of its name's words, one without a name by number and code or number and word; a row without any number by its name.
@@ -208,11 +224,14 @@ def _asked(df: DataFrame, trades: list[str]) -> DataFrame:
     read = read.withColumn("numbers", F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce("address", F.lit(""))), F.lit(_NUMBERS), F.lit(1)), lambda n: n != "")))
     # a house number of five digits and more is looked for where there is no shorter number
     read = read.withColumn("short", F.filter("numbers", lambda n: F.length(n) < 5))
-    read = read.withColumn("ends", _ends(False))
     words = F.concat(F.filter("numbers", lambda n: F.length(n) > 4), F.filter(F.split(sounding(plain(F.col("address"))), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]")))
-    asks = F.when(F.col("name").isNull(), words).otherwise(F.col("ends"))
-    by_number = F.flatten(F.transform(F.when(F.size("short") > 0, F.col("short")).otherwise(F.col("numbers")), lambda n: _with_number(n, asks)))
-    return read.select(_row(), F.array_distinct(F.when(F.size("numbers") > 0, by_number).when(F.size("own") > 0, _named())).alias("keys"))
+    numbered, named = F.size("numbers") > 0, F.transform(_named(), lambda k: k.cast("string"))
+    asks = F.when(numbered & F.col("name").isNull(), words).when(numbered, _ends(False)).when(F.size("own") > 0, named)
+    read = read.select(_row(), F.when(F.size("short") > 0, F.col("short")).otherwise(F.col("numbers")).alias("by"), F.array_distinct(asks).alias("asks"))
+    # each number with each word: as rows, which are hashed by compiled code
+    read = read.select("h", F.explode_outer("by").alias("n"), "asks").select("h", "n", F.explode_outer("asks").alias("w"))
+    key = F.when(F.col("n").isNull(), F.col("w").cast("long")).otherwise(F.xxhash64("n", "w"))
+    return read.filter("w is not null").select("h", key.alias("k"))
 
 
 def _row() -> Column:
@@ -220,13 +239,13 @@ def _row() -> Column:
 
 
 def _candidates(answers: DataFrame, asks: DataFrame) -> DataFrame:
-    """(h, arow, n) of all pairs of `answers` (arow, n, keys) and `asks` (h, keys) that share a key, each once.
+    """(h, arow, n) of all pairs of `answers` (arow, n, keys) and `asks` (h, k or keys) that share a key, each once.
 
     The clean rows of a key of more than HOT_KEY, which could make a block of any size, are divided into parts; a row that
     asks for it asks each part. No pair is lost by that.
     """
     # explode_outer: of explode a filter on the keys is inferred and pushed down, where all of them are computed twice
-    left, right, on = durable(answers.select("arow", "n", F.explode_outer("keys").alias("k"))), asks.select("h", F.explode_outer("keys").alias("k")), ["k"]
+    left, right, on = durable(answers.select("arow", "n", F.explode_outer("keys").alias("k"))), asks if "k" in asks.columns else asks.select("h", F.explode_outer("keys").alias("k")), ["k"]
     hot = durable(left.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_KEY).select("k", F.ceil(F.col("c") / HOT_KEY).cast("int").alias("parts")))
     if not hot.isEmpty():
         parts, on = F.coalesce("parts", F.lit(1)), ["k", "part"]
@@ -306,14 +325,14 @@ def link(reference: DataFrame, records: DataFrame, key: str, name: str, address:
     """
     cols = [F.col(key).alias("id"), F.col(name).alias("name"), F.col(address).alias("address"), F.col(country).alias("country")]
     clean = reference.select(*cols).filter("id is not null").distinct()
-    trades = trade_words(clean)
+    trades = trade_words(reference.select(*cols).filter("id is not null"))  # rows that are there twice change no word's share of the names
     with small_methods(reference.sparkSession):
         a = durable(_sides(clean, trades).select("id", *_SIDE).withColumn("arow", F.monotonically_increasing_id()))
     typed = records.select(*cols).filter("id is not null")
     mine = a.join(only.select(F.col(key).alias("id")).distinct(), "id", "left_semi") if only is not None else a
     # Each distinct name of the reference stands for its rows; n says how many these are.
     form = a.filter(F.size("own") > 0).groupBy(F.array_sort("own").alias("o"), F.array_sort("trade").alias("t"), "given").agg(F.count("*").alias("n"), F.min(F.struct("arow", "words", "own", "sounds")).alias("x")).select("n", "x.*")
-    at_number = _with_number(F.col("number"), F.array_distinct(F.concat(_ends(True), F.filter(F.array("street_sound", "code"), lambda w: F.length(w) > 0))))
+    at_number = _with_number(F.col("number"), F.filter(F.array_distinct(F.concat(_ends(True), F.array("street_sound", "code"))), lambda w: F.length(w) > 0))
     answers = mine.filter("number is not null").select("arow", F.lit(0).cast("long").alias("n"), at_number.alias("keys"))
     answers = answers.unionByName(form.select("arow", "n", F.array_distinct(_named()).alias("keys")))
     with small_methods(reference.sparkSession):

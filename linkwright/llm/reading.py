@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import partial, reduce
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,11 @@ def plain(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.regexp_replace(folded, r"\p{M}+", ""))
 
 
+def _has(column: str, *marks: str) -> Column:
+    """Any of the marks is in the column: spares a search by expression where there is nothing to find."""
+    return reduce(Column.__or__, [F.col(column).contains(m) for m in marks])
+
+
 def sounding(text: Column) -> Column:
     """The text with letters that are often confused made one, repeated letters once."""
     for single, run in groupby(SOUNDS, key=lambda x: len(x[0]) == 1):
@@ -58,7 +64,7 @@ def with_words(df: DataFrame, name: str) -> DataFrame:
     What a step uses more than once is a column of its own, or it would be computed as often.
     """
     read = df.withColumn("__n", F.replace(plain(F.coalesce(df[name], F.lit(""))), F.lit("'n'"), F.lit(" ")))
-    n, has = F.col("__n"), lambda *marks: F.lit(False) if not marks else F.col("__n").contains(marks[0]) | has(*marks[1:])
+    n, has = F.col("__n"), partial(_has, "__n")
     n = F.when(has("dba", "d/b/a", "d.b.a", "doing business as", "trading as", "t/a"), F.regexp_replace(n, _OTHER_NAME, "")).otherwise(n)
     read = read.withColumn("__n", F.when(has(*_NO_NAME_MARKS), F.regexp_replace(n, _NO_NAME, "")).otherwise(n))
     words = F.split("__n", "[^a-z0-9]+")
@@ -69,8 +75,8 @@ def with_words(df: DataFrame, name: str) -> DataFrame:
 
 def given_name(words: Column) -> Column:
     """The formal form of the given name among the words; '' if there is none that is known."""
-    known = literal_map(FORMAL_NAME)
-    return F.coalesce(F.get(F.filter(F.transform(words, lambda w: F.try_element_at(known, w)), lambda w: w.isNotNull()), F.lit(0)), F.lit(""))
+    first = F.get(F.filter(words, lambda w: w.isin(sorted(FORMAL_NAME))), F.lit(0))  # a set is asked, a map is searched from end to end
+    return F.coalesce(F.try_element_at(literal_map(FORMAL_NAME), first), F.lit(""))
 
 
 # Addresses
@@ -112,13 +118,14 @@ def with_address(df: DataFrame, address: str) -> DataFrame:
     street can be read, for null and empty texts too. Each step is used more than once by the next, so
     that the optimiser keeps them apart; filters belong behind a written table.
     """
-    s = F.replace(F.replace(F.col("__t"), F.lit("#"), F.lit(" no ")), F.lit(" - "), F.lit(","))
-    s = F.regexp_replace(s, r"(\d{5})-\d{4}\b|(?<=\b[a-z])\.(?=[a-z]\b)", "$1")
-    s = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(s, r"[;,\r\n]+", " , "), r"[^\w ,]+", " "), F.lit(" "))
-    s = F.regexp_replace(F.regexp_replace(s, "  +", " "), _UNIT, " ,")
-    s = F.regexp_replace(F.regexp_replace(s, _LANDMARK, " ,"), _LONG_HOUSE, "$2 x$1$3")
-    s = F.regexp_replace(s, r" (\d{3}) (\d{3})(?= )", " $1$2")
-    read = df.withColumn("__t", plain(F.coalesce(df[address], F.lit("")))).withColumn("__p", F.split(F.regexp_replace(s, _PLACE, "$2|$3$4|$5|$6|$1|$7"), r"\|")).drop("__t")
+    read = df.withColumn("__t", F.replace(F.replace(plain(F.coalesce(df[address], F.lit(""))), F.lit("#"), F.lit(" no ")), F.lit(" - "), F.lit(",")))
+    s = F.col("__t")
+    s = F.when(_has("__t", "-", "."), F.regexp_replace(s, r"(\d{5})-\d{4}\b|(?<=\b[a-z])\.(?=[a-z]\b)", "$1")).otherwise(s)
+    read = read.withColumn("__t", F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(s, r"[;,\r\n]+ *", " , "), F.lit(" ")), r"[^\w,]{2,}|[^\w ,]", " "))
+    read = read.withColumn("__t", F.regexp_replace("__t", _UNIT, " ,"))
+    s = F.when(_has("__t", *[f" {w} " for w in sorted(LANDMARK_LEADS)]), F.regexp_replace("__t", _LANDMARK, " ,")).otherwise(F.col("__t"))
+    s = F.regexp_replace(F.regexp_replace(s, _LONG_HOUSE, "$2 x$1$3"), r" (\d{3}) (\d{3})(?= )", " $1$2")
+    read = read.withColumn("__p", F.split(F.regexp_replace(s, _PLACE, "$2|$3$4|$5|$6|$1|$7"), r"\|")).drop("__t")
     part = lambda i: F.get("__p", F.lit(i))
     ordinal = F.coalesce(F.try_element_at(literal_map(ORDINALS), part(3)), part(3))
     read = read.withColumns({"__found": F.size("__p") == 6, "street": F.when(F.size("__p") == 6, ordinal), "__tail": F.split(part(5), " ")})
